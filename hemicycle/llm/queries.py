@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hemicycle.functions.keys import letters_and_digits
-from hemicycle.llm import pairs, split
+from hemicycle.llm import mixing, packing, pairs, split, tokens
+from hemicycle.session import materialise
 from hemicycle.sources.tables import read_table
 
+#: Tokens of a container.
+CAPACITY = 2048
+
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Own articles at which an oversized proposal can be divided, from the parts that the splitting assigns them to."""
@@ -40,6 +44,41 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.clearly_together(p4_pairs(spark, d)).select("item_a", "item_b")
 
 
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, or pieces of those above the capacity, with their containers."""
+    sized = tokens.token_counts(read_table(spark, d, "documents", "doc_id", "text"), "text")
+    return packing.pack(materialise(sized, "document_tokens"), "doc_id", CAPACITY)
+
+
+def p6_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used, the least possible number, and the share of their room that is used."""
+    return packing.packing_summary(p6_containers(spark, d), CAPACITY)
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents weigh by characters per token: text of a language the vocabulary knows has several, noise few."""
+    documents = read_table(spark, d, "documents", "doc_id", "source", "text").select("doc_id", "source", F.length("text").alias("n_chars"), "text")
+    sized = tokens.token_counts(documents, "text")
+    dense = F.coalesce(F.try_divide(F.col("n_chars"), F.col("n_tokens") * 4), F.lit(0.0))
+    weighted = sized.select("doc_id", "source", "n_tokens", F.greatest(F.least(dense, F.lit(1.0)), F.lit(0.05)).alias("weight"))
+    return mixing.mix(materialise(weighted, "document_weights"), read_table(spark, d, "mix_targets"), "doc_id")
+
+
+def p7_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each mix with their number of uses."""
+    return _mix(spark, d)[0]
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual shares of each mix and source."""
+    return mixing.mix_report(*_mix(spark, d))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources that cannot reach their target, from the report of the mixes."""
+    return p7_report(spark, d).where("not reachable").select("mix_id", "source")
+
+
 _ITEMS = """with blocks as (
   select distinct VotingResultId as basket, concat(regexp_replace(upper(strip_accents(politicalPartyAcronym)), '[^\\p{L}\\p{Nd}]', '', 'g'), ':', votingOrientation) as item
   from voting_blocks where VotingResultId is not null and politicalPartyAcronym is not null and votingOrientation is not null),
@@ -53,7 +92,7 @@ pairs as (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_pairs)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_pairs, p6_containers, p6_summary, p7_found, p7_report, p7_selection)}
 
 
 def oracle_sql() -> dict[str, str]:
