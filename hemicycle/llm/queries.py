@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hemicycle.functions.keys import letters_and_digits
-from hemicycle.llm import mixing, packing, pairs, split, tokens
+from hemicycle.llm import mixing, packing, pairs, quality, split, tokens
 from hemicycle.session import materialise
 from hemicycle.sources.tables import read_table
 
@@ -79,6 +79,19 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_report(spark, d).where("not reachable").select("mix_id", "source")
 
 
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of every document and its kind by the rules that its labelled documents give."""
+    documents = read_table(spark, d, "documents", "doc_id", "text")
+    rules = quality.fit(documents, read_table(spark, d, "doc_labels", "doc_id", "kind"), "doc_id", "text")
+    return quality.kinds(documents, rules, "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are not natural prose."""
+    kind = F.col("kind")  # a generator, so that the statistics are not computed again for a filter pushed below them
+    return p8_statistics(spark, d).select("doc_id", F.explode(F.when(kind != "prose", F.array(kind)).otherwise(F.array().cast("array<string>"))).alias("kind"))
+
+
 _ITEMS = """with blocks as (
   select distinct VotingResultId as basket, concat(regexp_replace(upper(strip_accents(politicalPartyAcronym)), '[^\\p{L}\\p{Nd}]', '', 'g'), ':', votingOrientation) as item
   from voting_blocks where VotingResultId is not null and politicalPartyAcronym is not null and votingOrientation is not null),
@@ -92,7 +105,7 @@ pairs as (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_pairs, p6_containers, p6_summary, p7_found, p7_report, p7_selection)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_pairs, p6_containers, p6_summary, p7_found, p7_report, p7_selection, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
