@@ -50,15 +50,10 @@ _TITLE_CHARACTER = r"(?:[^<>\r\n.;&]|&\w{2,8};)"
 _TITLE = rf"(?:{_GAP}[-–—:.]?{_GAP}(?:\({_TITLE_CHARACTER}{{1,160}}\)|(?:&\w{{2,8}};|\p{{Lu}}){_TITLE_CHARACTER}{{0,160}}+))?"
 _LINE_END = rf"(?={_GAP}(?:[\r\n]|</?{_BLOCK}\b|<[bh]r\b|\z))"
 _HEADING = rf"{_LINE_START}{_LEAD}{_WORD}{_GAP}(?:[Nn]\.?{_GAP}(?:{_SIGN}|o){_GAP})?{_NUMBER}{_GAP}(?:\.?{_GAP}{_SIGN})?+(?!-\p{{Lu}}\b){_TITLE}{_GAP}\.?{_LINE_END}"
-_TOKEN = rf"(?s){_UNSEEN}|{_QUOTED}|{_HEADING}|[^<>«“&\r\n]*+>|[^<>«“&\r\n]++|."
+_TOKEN = rf"(?s){_UNSEEN}|{_QUOTED}|{_HEADING}|[^<>«“&\r\n]++(?:&(?!l[ad]quo;)[^<>«“&\r\n]*+)*+>?+|."
 
-_PARAGRAPH_END = r"(?<=</p>|</div>|</li>|</ol>|</ul>|</tr>|</table>|</blockquote>|</h[1-6]>|<br>|<br/>|<br />|\n)(?!\n)"
-_SENTENCE_END = r"(?<=[.!?;…][\"'”»)]?[\s\xA0])"
-
-
-def _heading_numbers(text: Column) -> Column:
-    """The number of the heading that each token is, an empty string for other tokens; names its group after the groups before it."""
-    return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(2))
+_PARAGRAPH_END = r"(?<=[>\n])(?<=</p>|</div>|</li>|</ol>|</ul>|</tr>|</table>|</blockquote>|</h[1-6]>|<br>|<br/>|<br />|\n)(?!\n)"
+_SENTENCE_END = r"(?<=[\s\xA0])(?<=[.!?;…][\"'”»)]?[\s\xA0])"
 
 
 def article_number(written: Column) -> Column:
@@ -75,17 +70,40 @@ def _pieces_pattern(limit: int, overlap: int) -> str:
 
     def upto(n: int) -> str:
         some = f".{{1,{n}}}"
-        return "|".join([rf"{some}(?={MARK}|\z)", some + _PARAGRAPH_END, some + _SENTENCE_END, some + r"(?<=[\s\xA0])", some])
+        return "|".join([some + r"+\z", rf"{some}(?={MARK})", some + _PARAGRAPH_END, some + _SENTENCE_END, some + r"(?<=[\s\xA0])", some])
 
     return rf"(?s)\A(?:{upto(limit)})|{upto(limit - overlap)}"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _starts(lengths: Column) -> Column:
     """Offsets from the lengths of consecutive parts."""
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
     return F.aggregate(lengths, first, lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["starts"], s["at"]).alias("starts")), lambda s: s["starts"])
 
 
+def _marked(tokens: Column, numbers: Column) -> Column:
+    return F.array_join(F.zip_with(tokens, numbers, lambda t, n: F.when(n != "", F.concat(F.lit(MARK), F.substr(t, F.lit(2)))).otherwise(t)), "")
+
+
+def _with_articles(starts: Column, lengths: Column, heads: Column, numbers: Column) -> Column:
+    """The pieces, each with the numbers of the headings that begin in it."""
+    placed = F.zip_with(heads, numbers, lambda at, number: F.struct(at.alias("at"), number.alias("number")))
+
+    def all_pieces(known: Column) -> Column:
+        def piece(part: Column, i: Column) -> Column:
+            inside = F.filter(known, lambda h: (h["at"] >= part["start"]) & (h["at"] < part["start"] + part["length"]))
+            return F.struct((i + 1).alias("piece_no"), part["start"].alias("start"), part["length"].alias("length"), F.transform(inside, lambda h: h["number"]).alias("articles"))
+
+        return F.transform(F.zip_with(starts, lengths, lambda s, n: F.struct(s.alias("start"), n.alias("length"))), piece)
+
+    return _let(placed, all_pieces)
+
+
 def split_plan(texts: DataFrame, key: str, text: str, limit: int = 6000, overlap: int = 300) -> DataFrame:
     """key, text, and pieces: array<struct<piece_no, start, length, articles>> of texts with more than ``limit`` characters.
 
@@ -98,20 +116,18 @@ def split_plan(texts: DataFrame, key: str, text: str, limit: int = 6000, overlap
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be smaller than the limit")
+
+    def offsets(marked: Column, numbers: Column) -> Column:
+        before = F.transform(F.split(marked, MARK), lambda s: F.length(s) + 1)
+        lengths = F.transform(F.regexp_extract_all(marked, F.lit(_pieces_pattern(limit, overlap)), F.lit(0)), F.length)
+        heads = _let(before, lambda b: F.transform(F.slice(_starts(b), 2, F.greatest(F.size(b) - 1, F.lit(0))), lambda at: at - 1))
+        return _let(F.struct(heads.alias("heads"), lengths.alias("lengths")), lambda x: _let(_starts(x["lengths"]), lambda s: _with_articles(s, x["lengths"], x["heads"], numbers)))
+
     plain = F.translate(F.col(text), MARK, " ")
-    large = texts.where(F.length(text) > limit).select(F.col(key), F.col(text), F.regexp_extract_all(plain, F.lit(_TOKEN), F.lit(0)).alias("_tokens"), _heading_numbers(plain).alias("_numbers"))
-    marked = F.array_join(F.zip_with("_tokens", "_numbers", lambda t, n: F.when(n != "", F.concat(F.lit(MARK), F.substr(t, F.lit(2)))).otherwise(t)), "")
-    numbered = large.select(key, text, marked.alias("_marked"), F.transform(F.filter("_numbers", lambda n: n != ""), article_number).alias("_articles"))
-    before = F.split("_marked", MARK)
-    heads = F.slice(_starts(F.transform(before, lambda s: F.length(s) + 1)), 2, F.greatest(F.size(before) - 1, F.lit(0)))
-    parts = F.transform(F.regexp_extract_all("_marked", F.lit(_pieces_pattern(limit, overlap)), F.lit(0)), F.length)
-    placed = numbered.select(key, text, F.arrays_zip(F.transform(heads, lambda h: h - 1).alias("at"), F.col("_articles").alias("number")).alias("_heads"), F.arrays_zip(_starts(parts).alias("start"), parts.alias("length")).alias("_parts"))
-
-    def piece(part: Column, i: Column) -> Column:
-        inside = F.filter("_heads", lambda h: (h["at"] >= part["start"]) & (h["at"] < part["start"] + part["length"]))
-        return F.struct((i + 1).alias("piece_no"), part["start"].alias("start"), part["length"].alias("length"), F.transform(inside, lambda h: h["number"]).alias("articles"))
-
-    return placed.select(key, text, F.transform("_parts", piece).alias("pieces"))
+    found = F.struct(F.regexp_extract_all(plain, F.lit(_TOKEN), F.lit(0)).alias("tokens"), F.regexp_extract_all(plain, F.lit(_TOKEN), F.lit(2)).alias("numbers"))
+    numbered = lambda x: F.transform(F.filter(x["numbers"], lambda n: n != ""), article_number)
+    plan = _let(found, lambda x: _let(F.struct(_marked(x["tokens"], x["numbers"]).alias("marked"), numbered(x).alias("numbers")), lambda y: offsets(y["marked"], y["numbers"])))
+    return texts.where(F.length(text) > limit).select(key, text, plan.alias("pieces"))
 
 
 def pieces(texts: DataFrame, key: str, text: str, limit: int = 6000, overlap: int = 300) -> DataFrame:
