@@ -12,7 +12,9 @@ from bisect import bisect_left, insort
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_STEPS = "n_tokens bigint, steps array<struct<first:bigint,last:bigint,container:bigint,each:bigint,fill:bigint>>"
+#: Items of one length that one task ranks, about.
+TASK_ITEMS = 500_000
+_PLAN = "n_tokens bigint, before array<bigint>, steps array<struct<first:bigint,last:bigint,container:bigint,each:bigint,fill:bigint>>"
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> tuple[dict[int, list[tuple[int, int, int, int, int]]], int]:
@@ -70,42 +72,40 @@ def pieces_within(items: DataFrame, key: str, capacity: int) -> DataFrame:
     return exploded.select(key, (F.col("_i") + 1).cast("int").alias("piece_no"), (F.col("_i") * capacity).alias("token_start"), F.least(F.col("_n") - F.col("_i") * capacity, F.lit(capacity)).alias("n_tokens"))
 
 
-def pack(items: DataFrame, key: str, capacity: int = 2048, salts: int = 64) -> DataFrame:
+def pack(items: DataFrame, key: str, capacity: int = 2048, task_items: int = TASK_ITEMS) -> DataFrame:
     """key, piece_no, token_start, n_tokens, container_id, container_offset for all items.
 
-    ``items`` has ``key`` (unique, not null) and n_tokens; they are read twice and ought to be
+    ``items`` has ``key`` (unique, not null) and n_tokens; they are read three times and ought to be
     stored. Only an item above ``capacity`` is divided. Items of no tokens take no room: they stand
-    at the start of container 0. No items give no rows. Ranks within a length are counted per salt
-    of the key first, so that a length that many items share spreads over tasks; the offsets of the
-    salts are at most ``capacity * salts`` rows.
+    at the start of container 0. No items give no rows. A length that more than ``task_items`` items
+    share is ranked in several parts, salted by the key, whose counts shift the ranks of the parts
+    after them. What the driver gets is a count per length, at most ``capacity + 1``, and a count per
+    part, which adds one for every ``task_items`` items.
     """
     spark = items.sparkSession
     pieces = pieces_within(items.select(key, F.coalesce("n_tokens", F.lit(0).cast("bigint")).alias("n_tokens")), key, capacity)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(key, "piece_no"), F.lit(salts)).cast("int"))
-    per_salt = salted.groupBy("n_tokens", "_salt").agg(F.count("*").alias("_n"))
-    counts = [(r.n_tokens, r._salt, r._n) for r in per_salt.collect()]  # bounded: capacity * salts
-    histogram: dict[int, int] = {}
-    offsets = []
-    for n, salt, c in sorted(counts):
-        offsets.append((n, salt, histogram.get(n, 0)))
-        histogram[n] = histogram.get(n, 0) + c
+    histogram = {r.n_tokens: r.n for r in pieces.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}
+    parts = spark.createDataFrame([(n, -(-c // task_items)) for n, c in histogram.items()], "n_tokens bigint, _parts int")
+    salted = pieces.join(F.broadcast(parts), "n_tokens").withColumn("_salt", F.pmod(F.xxhash64(key, "piece_no"), F.col("_parts")).cast("int")).drop("_parts")
+    in_part = {(r.n_tokens, r._salt): r.n for r in salted.groupBy("n_tokens", "_salt").agg(F.count("*").alias("n")).collect()}
     steps, _ = best_fit(histogram, capacity)
     if 0 in histogram:
-        steps[0] = [(0, histogram[0], 0, max(histogram[0], 1), 0)]
-    offset_rows = spark.createDataFrame(offsets, "n_tokens bigint, _salt int, _before bigint")
-    plan = spark.createDataFrame(list(steps.items()), _STEPS)
+        steps[0] = [(0, histogram[0], 0, histogram[0], 0)]
+    rows = []
+    for n, own in steps.items():
+        sizes = [in_part.get((n, i), 0) for i in range(-(-histogram[n] // task_items))]
+        rows.append((n, [sum(sizes[:i]) for i in range(len(sizes))], own))
     within = Window.partitionBy("n_tokens", "_salt").orderBy(key, "piece_no")
-    ranked = salted.withColumn("_rank", F.row_number().over(within)).join(F.broadcast(offset_rows), ["n_tokens", "_salt"]).withColumn("_rank", F.col("_rank") - 1 + F.col("_before"))
-    placed = ranked.join(F.broadcast(plan), "n_tokens").withColumn("_step", F.filter("steps", lambda s: (s["first"] <= F.col("_rank")) & (F.col("_rank") < s["last"]))[0])
+    ranked = salted.withColumn("_nth", F.row_number().over(within) - 1).join(F.broadcast(spark.createDataFrame(rows, _PLAN)), "n_tokens")
+    placed = ranked.withColumn("_rank", F.col("_nth") + F.get("before", F.col("_salt"))).withColumn("_step", F.get(F.filter("steps", lambda s: (s["first"] <= F.col("_rank")) & (F.col("_rank") < s["last"])), F.lit(0)))
     nth = F.col("_rank") - F.col("_step.first")
-    each = F.col("_step.each")
     return placed.select(
         key,
         "piece_no",
         "token_start",
         "n_tokens",
         F.expr("_step.container + (_rank - _step.first) div _step.each").alias("container_id"),
-        (F.col("_step.fill") + (nth % each) * F.col("n_tokens")).alias("container_offset"),
+        (F.col("_step.fill") + (nth % F.col("_step.each")) * F.col("n_tokens")).alias("container_offset"),
     )
 
 
