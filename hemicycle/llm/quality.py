@@ -51,11 +51,10 @@ def statistics(documents: DataFrame, text: str) -> DataFrame:
     Words are runs of letters. Shares are of words (common, clause, distinct), of pieces between
     marks (repeated), of lines (punctuated) or of the characters in lines (cell, marker, leader,
     short); ratios are of characters. Tags of list items, table cells and paragraphs count as the
-    breaks they stand for. Null counts as empty; a statistic without denominator is 0.
+    breaks they stand for. Null counts as empty; a statistic without denominator is 0. Columns of
+    ``documents`` that are named like statistics are replaced by them.
     """
-    kept = [c for c in documents.columns if c != text]
-    if clash := {*kept} & {*STATISTICS, "n_chars"}:
-        raise ValueError(f"columns that clash with statistics: {sorted(clash)}")
+    kept = [c for c in documents.columns if c not in (text, "n_chars", *STATISTICS)]
     raw = F.coalesce(F.col(text), F.lit(""))
     plain = F.regexp_replace(F.regexp_replace(raw, r"(?i)</t[dh]>\s*<t[dh][^>]*>", "\t"), r"(?i)<li\b[^>]*>", "\n- ")
     plain = F.regexp_replace(plain, r"(?i)</?(?:ul|ol|li|table|tbody|thead|tr|td|th|p|div|br|h[1-6])\b[^>]*>", "\n")

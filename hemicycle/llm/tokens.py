@@ -9,6 +9,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: File of byte-level ranks; any file of the same form will do.
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -30,15 +31,13 @@ def _encoder(ranks: bytes):
 
 
 def token_counts(documents: DataFrame, text: str, ranks: str = RANKS) -> DataFrame:
-    """The other columns of ``documents`` with n_tokens; null and empty texts have 0 tokens.
+    """The other columns of ``documents`` with n_tokens, which replaces a column of that name; null and empty texts have 0 tokens.
 
     The vocabulary is read by the driver and sent to the workers, about a megabyte whatever the data.
     """
-    if "n_tokens" in documents.columns:
-        raise ValueError("documents already have a column n_tokens")
-    kept = [c for c in documents.columns if c != text]
+    kept = [c for c in documents.columns if c not in (text, "n_tokens")]
     vocabulary = documents.sparkSession.sparkContext.broadcast(Path(ranks).read_bytes())
-    fields = [*(documents.schema[c] for c in kept)]
+    schema = StructType([*(documents.schema[c] for c in kept), StructField("n_tokens", LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(vocabulary.value).encode_ordinary
@@ -46,6 +45,4 @@ def token_counts(documents: DataFrame, text: str, ranks: str = RANKS) -> DataFra
             sizes = [len(encode(t)) if t else 0 for t in (x.as_py() for x in batch.column(len(kept)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(sizes, pa.int64())], names=[*kept, "n_tokens"])
 
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    return documents.select(*kept, F.col(text)).mapInArrow(count, StructType([*fields, StructField("n_tokens", LongType())]))
+    return documents.select(*kept, F.col(text)).mapInArrow(count, schema)
