@@ -6,7 +6,9 @@ pairs are counted by popcounts over the rows of a dense bit matrix, mixed pairs
 matrix at the baskets in the light item's list, and light pairs by hashing the pairs of the few light
 items of each basket. The partial counts of the blocks are summed per pair.
 
-There are at most HEAVY_DENSITY times the mean basket size of heavy items, whatever the data.
+There are at most HEAVY_DENSITY times the mean basket size of heavy items, whatever the data. The
+light items of a basket are dealt to groups of about GROUP; each two groups of a basket meet in a
+row of their own, so that a basket of any size spreads over tasks and no row holds more than two groups.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ from hemicycle.session import materialise
 HEAVY_DENSITY = 32
 #: Baskets of one block of the bit matrix.
 BLOCK = 8192
+#: Light items of one basket that stand in one group, about.
+GROUP = 1024
+#: Pairs that a task holds before it merges equal ones, and merged pairs before it sends them on.
+HELD, SENT = 2_000_000, 1_000_000
 _COUNTS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
@@ -54,36 +60,55 @@ class _Counter:
             self.sparse.append((np.stack([np.minimum(a, b), np.maximum(a, b)]), n))
             self.held += len(a)
 
-    def block(self, heavy: np.ndarray, heavy_at: np.ndarray, light: np.ndarray, light_at: np.ndarray, baskets: int) -> None:
-        """Count one block: codes of heavy and light items with the basket's place in the block."""
+    def block(self, heavy: np.ndarray, heavy_at: np.ndarray, light: np.ndarray, light_at: np.ndarray, first_row: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Count one block: codes of heavy and light items with their row in the block, and whether a row is its basket's first, in which heavy pairs count."""
         here, row = np.unique(heavy, return_inverse=True)
-        bits = np.zeros((len(here), baskets), np.uint8)
+        bits = np.zeros((len(here), len(first_row)), np.uint8)
         bits[row, heavy_at] = 1
         if len(here):
-            words = np.packbits(bits, axis=1)
+            words = np.packbits(bits * first_row.astype(np.uint8), axis=1)
             words = np.pad(words, ((0, 0), (0, -words.shape[1] % 8))).view(np.uint64)
             rank = self._ranks(here)
             for i in range(len(here) - 1):
                 both = np.bitwise_count(words[i] & words[i + 1 :]).sum(axis=1, dtype=np.int64)
                 np.add.at(self.dense, (rank[i], rank[i + 1 :]), both)
-        if len(light):
-            order = np.lexsort((light_at, light))
-            light, light_at = light[order], light_at[order]
-            starts = np.flatnonzero(np.r_[True, light[1:] != light[:-1]])
-            if len(here):
-                for s, e in zip(starts, np.r_[starts[1:], len(light)], strict=True):
-                    probed = bits[:, light_at[s:e]].sum(axis=1, dtype=np.int64)
-                    hit = np.flatnonzero(probed)
-                    self._add(np.full(len(hit), light[s]), here[hit], probed[hit])
-            order = np.lexsort((light, light_at))
-            light, light_at = light[order], light_at[order]
-            ends = np.searchsorted(light_at, light_at, side="right")
-            after = ends - np.arange(len(light)) - 1
-            left = np.repeat(np.arange(len(light)), after)
-            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(after) - after, after)
-            self._add(light[left], light[right], np.ones(len(left), np.int64))
-        if self.held > 2_000_000:
+        if not len(light):
+            return
+        order = np.lexsort((light_at, light))
+        code, at = light[order], light_at[order]
+        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        if len(here):
+            for s, e in zip(starts, np.r_[starts[1:], len(code)], strict=True):
+                probed = bits[:, at[s:e]].sum(axis=1, dtype=np.int64)
+                hit = np.flatnonzero(probed)
+                self._add(np.full(len(hit), code[s]), here[hit], probed[hit])
+        order = np.lexsort((light, light_at))
+        code, at = light[order], light_at[order]
+        after = np.searchsorted(at, at, side="right") - np.arange(len(code)) - 1
+        upto = np.cumsum(after)
+        first = 0
+        while first < len(code):  # as many left items as give HELD pairs
+            last = max(first + 1, int(np.searchsorted(upto, upto[first] - after[first] + HELD, side="right")))
+            n = after[first:last]
+            left = np.repeat(np.arange(first, last), n)
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+            self._add(code[left], code[right], np.ones(len(left), np.int64))
+            yield from self._relieved()
+            first = last
+
+    def across(self, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Count the pairs of two groups of one basket."""
+        rows = max(1, HELD // max(1, len(right)))
+        for s in range(0, len(left), rows):
+            part = left[s : s + rows]
+            self._add(np.repeat(part, len(right)), np.tile(right, len(part)), np.ones(len(part) * len(right), np.int64))
+            yield from self._relieved()
+
+    def _relieved(self) -> Iterator[pa.RecordBatch]:
+        if self.held > HELD:
             self._merge()
+            if self.held > SENT:
+                yield from self.drain()
 
     def _merge(self) -> None:
         if self.sparse:
@@ -106,38 +131,57 @@ class _Counter:
         self.dense[:] = 0
 
 
+def _flat(column: pa.Array, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The members of all lists, and the row of each."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(rows), lengths)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Basket rows (heavy codes, light codes) to partial pair counts."""
+    """Rows (heavy codes, light codes of one group, light codes of another, number of the first group) to partial pair counts."""
     counter = _Counter()
     for batch in batches:
         for s in range(0, batch.num_rows, BLOCK):
             part = batch.slice(s, BLOCK)
-            flat = []
-            for column in part.columns:
-                lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                flat += [column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(part.num_rows), lengths)]
-            counter.block(*flat, part.num_rows)
-            if counter.held > 4_000_000:
-                yield from counter.drain()
+            other = part.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False) > 0
+            for row in np.flatnonzero(other).tolist():
+                yield from counter.across(*(part.column(i)[row].values.to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2)))
+            alone = part.filter(pa.array(~other))
+            yield from counter.block(*_flat(alone.column(0), alone.num_rows), *_flat(alone.column(1), alone.num_rows), alone.column(3).to_numpy(zero_copy_only=False) == 0)
     yield from counter.drain()
 
 
-def pair_counts(rows: DataFrame, basket: str, item: str) -> DataFrame:
+def _basket_rows(coded: DataFrame) -> DataFrame:
+    """heavy, light, other, low: per basket one row for each group with all heavy items, and one for each two groups without them."""
+    sizes = coded.groupBy("basket").agg(F.ceil(F.count_if(~F.col("is_heavy")) / GROUP).cast("int").alias("groups")).withColumn("groups", F.greatest("groups", F.lit(1)))
+    grouped = coded.join(sizes, "basket").withColumn("group", F.when(~F.col("is_heavy"), F.pmod(F.xxhash64("code"), F.col("groups")).cast("int")))
+    cells = grouped.select("basket", "code", "is_heavy", "group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("with"))
+    placed = cells.withColumn("own", F.coalesce("group", "with")).select("*", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"))
+    side = lambda when: F.collect_list(F.when(when, F.col("code")))
+    light = ~F.col("is_heavy")
+    rows = placed.groupBy("basket", "low", "high").agg(side(F.col("is_heavy")).alias("heavy"), side(light & (F.col("own") == F.col("low"))).alias("light"), side(light & (F.col("own") != F.col("low"))).alias("other"))
+    return rows.where("low = high or size(light) > 0 and size(other) > 0").select("heavy", "light", "other", "low")
+
+
+def pair_counts(rows: DataFrame, basket: str, item: str, least: int = 1, share: int | None = None) -> DataFrame:
     """item_a, item_b, n_both, n_a, n_b, n_baskets, lift for every pair of different items in a common basket.
 
     ``item_a`` is the smaller in byte order. A basket is the set of its items: repeated rows count
     once. Rows without basket or item are left out; no row gives no pair. Lift is n_both * N /
-    (n_a * n_b). The items of one basket stand in one row as codes of eight bytes.
+    (n_a * n_b). Of pairs that can't be in ``least`` baskets, or not in one of ``share`` baskets,
+    since one of their items alone isn't, none are counted. Items are told apart by a 64-bit hash;
+    two items with one hash are an error.
     """
     sets = rows.select(F.col(basket).alias("basket"), F.col(item).alias("item")).where("basket is not null and item is not null").distinct()
     sets = materialise(sets, "basket_items")
     total = sets.select("basket").distinct().count()
     frequency = materialise(sets.groupBy("item").agg(F.count("*").alias("n")).withColumn("code", F.xxhash64("item")), "item_codes")
-    coded = sets.select("basket", F.xxhash64("item").alias("code"), "item")
-    heavy = [r.code for r in frequency.where(F.col("n") * HEAVY_DENSITY >= total).select("code").collect()]
-    is_heavy = F.col("code").isin(heavy) if heavy else F.lit(False)
-    baskets = coded.groupBy("basket").agg(F.collect_list(F.when(is_heavy, F.col("code"))).alias("heavy"), F.collect_list(F.when(~is_heavy, F.col("code"))).alias("light"))
-    partial = baskets.select("heavy", "light").mapInArrow(_count, "a bigint, b bigint, n bigint")
+    enough = F.col("n") >= max(least, -(-total // share) if share else 1)
+    checked = frequency.where(enough).groupBy("code").agg(F.max("n").alias("n"), F.count("*").alias("items"))
+    once = F.when(F.col("items") == 1, F.col("n")).otherwise(F.raise_error(F.lit("two items have one hash")).cast("bigint"))
+    known = checked.select("code", (once * HEAVY_DENSITY >= total).alias("is_heavy"))
+    coded = sets.select("basket", F.xxhash64("item").alias("code")).join(known, "code")
+    partial = _basket_rows(coded).mapInArrow(_count, "a bigint, b bigint, n bigint")
     counts = partial.groupBy("a", "b").agg(F.sum("n").alias("n_both"))
     side = lambda x: frequency.select(F.col("code").alias(x), F.col("item").alias(f"item_{x}"), F.col("n").alias(f"n_{x}"))
     named = counts.join(side("a"), "a").join(side("b"), "b").withColumn("n_baskets", F.lit(total).cast("bigint"))

@@ -41,7 +41,8 @@ def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of party positions that occur together clearly more often than by chance."""
-    return pairs.clearly_together(p4_pairs(spark, d)).select("item_a", "item_b")
+    counted = pairs.pair_counts(_party_items(spark, d), "VotingResultId", "item", least=5, share=200)
+    return pairs.clearly_together(counted, least=5, share=200).select("item_a", "item_b")
 
 
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:

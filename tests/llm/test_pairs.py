@@ -20,10 +20,11 @@ def brute(rows):
     return {(a, b, n, single[a], single[b], len(baskets)) for (a, b), n in both.items()}
 
 
-@pytest.mark.parametrize("density", [1, 4, 32, 10_000])
-def test_all_pairs_are_counted(spark, monkeypatch, density):
-    """Everything light, mixed, or everything heavy."""
+@pytest.mark.parametrize(("density", "group"), [(1, 1024), (4, 3), (32, 1024), (10_000, 1024), (1, 2)])
+def test_all_pairs_are_counted(spark, monkeypatch, density, group):
+    """Everything light, mixed, or everything heavy; baskets of one group and of several."""
     monkeypatch.setattr(pairs, "HEAVY_DENSITY", density)
+    monkeypatch.setattr(pairs, "GROUP", group)
     rng = random.Random(density)
     items = [f"i{k}" for k in range(40)] + ["Á", "z"]
     rows = [(rng.randrange(60), items[min(int(rng.expovariate(0.15)), 41)]) for _ in range(900)]
@@ -31,21 +32,28 @@ def test_all_pairs_are_counted(spark, monkeypatch, density):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "basket int, item string, code string, n int")
     got = {tuple(r)[:6] for r in pairs.pair_counts(df, "basket", "item").collect()}
     assert got == brute(rows)
+    frequent = {tuple(r)[:6] for r in pairs.pair_counts(df, "basket", "item", least=8, share=6).collect()}
+    assert frequent == {x for x in brute(rows) if min(x[3], x[4]) >= max(8, -(-x[5] // 6))}
 
 
-def test_blocks_are_summed():
+@pytest.mark.parametrize("held", [1, 50, 2_000_000])
+def test_blocks_are_summed(monkeypatch, held):
+    monkeypatch.setattr(pairs, "HELD", held)
+    monkeypatch.setattr(pairs, "SENT", held // 2)
     rng = np.random.default_rng(2)
-    counter, expected = pairs._Counter(), Counter()
+    counter, expected, batches = pairs._Counter(), Counter(), []
     for _ in range(4):
         heavy = rng.random((6, 100)) < 0.4
         light = rng.random((30, 100)) < 0.03
         (h, hb), (lt, lb) = np.nonzero(heavy), np.nonzero(light)
-        counter.block(h, hb, lt + 100, lb, 100)
+        batches += counter.block(h, hb, lt + 100, lb, np.ones(100, bool))
         for b in range(100):
             present = [*np.flatnonzero(heavy[:, b]).tolist(), *(np.flatnonzero(light[:, b]) + 100).tolist()]
             expected.update(combinations(sorted(present), 2))
+    batches += counter.across(np.arange(200, 230), np.arange(300, 309))
+    expected.update((a, b) for a in range(200, 230) for b in range(300, 309))
     got = Counter()
-    for batch in counter.drain():
+    for batch in [*batches, *counter.drain()]:
         for a, b, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             got[a, b] += n
     assert got == expected
