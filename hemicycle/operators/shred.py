@@ -85,6 +85,9 @@ def shred(records: DataFrame, record_id: str, payload: str, containers: frozense
     labels whose strings and maps are read as nested objects. A null scalar is a row with null.
     """
 
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
@@ -94,12 +97,13 @@ def shred(records: DataFrame, record_id: str, payload: str, containers: frozense
                     value = _parsed(value)
                 if not isinstance(value, dict | list):
                     continue
-                rows.extend((document, source, *node) for node in _walk(value, containers))
-                if len(rows) >= BATCH_ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
-                    rows.clear()
+                for node in _walk(value, containers):
+                    rows.append((document, source, *node))
+                    if len(rows) >= BATCH_ROWS:
+                        yield as_batch(rows)
+                        rows.clear()
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
+            yield as_batch(rows)
 
     documents = records.select(F.xxhash64(record_id, payload).alias("document"), F.coalesce(F.col(record_id).cast("bigint"), F.lit(-1)).alias("source"), F.col(payload).alias("payload"))
     return documents.mapInArrow(parse, NODES)
