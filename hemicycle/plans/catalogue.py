@@ -223,19 +223,19 @@ from affinity a join (select UserId, party, count(*) as n_steps from steps group
 )
 
 
-def _scored_votes(spark, d):
+def _scored_votes(spark, d, votes=None):
     """Votes on proposals with a stored generality result."""
     laws = domain.proposals(spark, d, "Id", "ProposingPartypartyAcronym", "VotingResultGeneralityId").select(F.col("Id").alias("ProjectLawID"), F.col("ProposingPartypartyAcronym").alias("proposer"), F.col("VotingResultGeneralityId").alias("result_id"))
     laws = laws.join(domain.results(spark, d).select(F.col("Id").alias("result_id")), "result_id", "left_semi")
-    return domain.votes(spark, d).join(laws, "ProjectLawID")
+    return (domain.votes(spark, d) if votes is None else votes).join(laws, "ProjectLawID")
 
 
-def _steps(spark, d):
+def affinity_steps(spark, d, votes=None):
     """One row per scored vote and block of the vote's generality result."""
     parts = domain.blocks(spark, d, "Id", "VotingResultId", "politicalPartyAcronym", "votingOrientation").select(F.col("VotingResultId").alias("result_id"), F.col("Id").alias("block_id"), F.col("politicalPartyAcronym").alias("party"), F.col("votingOrientation").alias("block_orientation"))
     known = parts.join(domain.parties(spark, d).select(F.col("partyAcronym").alias("party")), "party", "left_semi")
     points = scoring.tenths(F.col("party") == F.col("proposer"), F.col("block_orientation") == F.col("VotingOrientation"))
-    return _scored_votes(spark, d).where("UserId is not null").join(known, "result_id").select("UserId", F.col("Id").alias("vote_id"), "block_id", "party", points.alias("tenths"))
+    return _scored_votes(spark, d, votes).where("UserId is not null").join(known, "result_id").select("UserId", F.col("Id").alias("vote_id"), "block_id", "party", points.alias("tenths"))
 
 
 def _affinity(folded):
@@ -254,17 +254,17 @@ def proposal_score(spark, d):
 
 @query(_SCORED + "select * from steps")
 def affinity_deltas(spark, d):
-    return _steps(spark, d)
+    return affinity_steps(spark, d)
 
 
 @query(_AFFINITY)
 def party_affinity(spark, d):
-    return _affinity(scoring.clamped_fold(_steps(spark, d), ["UserId", "party"], ["vote_id", "block_id"], "tenths"))
+    return _affinity(scoring.clamped_fold(affinity_steps(spark, d), ["UserId", "party"], ["vote_id", "block_id"], "tenths"))
 
 
 @query(_AFFINITY)
 def party_affinity_fold(spark, d):
-    return _affinity(scoring.folded_in_array(_steps(spark, d), ["UserId", "party"], ["vote_id", "block_id"], "tenths"))
+    return _affinity(scoring.folded_in_array(affinity_steps(spark, d), ["UserId", "party"], ["vote_id", "block_id"], "tenths"))
 
 
 @query(f"select UserId, max(affinity) as affinity from ({_WITH}{_AFFINITY}) t group by 1")
