@@ -35,13 +35,14 @@ PHRASE_WORDS = {
 
 #: Names of the statistics that rules may test, in order.
 STATISTICS = (
-    "n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "vowel_ratio", "capital_ratio", "odd_ratio", "common_share", "clause_share", "distinct_share", "repeated_share", "separators_per_word",
-    "words_per_line", "punctuated_share", "cell_share", "marker_share", "leader_share", "short_share",
+    "n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "vowel_ratio", "capital_ratio", "odd_ratio", "common_share", "clause_share", "distinct_share", "repeated_share", "separators_per_word", "commas_per_word",
+    "clusters_per_word", "inner_marks_per_word", "words_per_line", "punctuated_share", "cell_share", "marker_share", "leader_share", "short_share", "continued_share",
 )
 
-_CELLS = r'\|[^|]*\||\t|;[^; ][^;]*;[^; ]|"[,;]"|\S {2,}\S'
+_CELLS = r'\|[^|]*\||\t|;[^;\s][^;]{0,60};\S|"[,;]"|\S {2,}\S'
 _MARKER = r"^(?:[-–—•*+·▪◦‣]|\[[ xX]?\]|\(?(?:\d{1,3}|[A-Za-z]|[ivx]{1,5})[).ºª°]+)\s+\S"
 _LEADER = r"\.{4,}\s*\d*$"
+_CONTINUED = r"^\p{Ll}"
 _SHORT = r"^\p{Lu}[^,;:!?\t|]{0,69}$"
 
 
@@ -50,7 +51,7 @@ def statistics(documents: DataFrame, text: str) -> DataFrame:
 
     Words are runs of letters. Shares are of words (common, clause, distinct), of pieces between
     marks (repeated), of lines (punctuated) or of the characters in lines (cell, marker, leader,
-    short); ratios are of characters. Tags of list items, table cells and paragraphs count as the
+    short, continued); ratios are of characters. Tags of list items, table cells and paragraphs count as the
     breaks they stand for. Null counts as empty; a statistic without denominator is 0. Columns of
     ``documents`` that are named like statistics are replaced by them.
     """
@@ -84,7 +85,10 @@ def statistics(documents: DataFrame, text: str) -> DataFrame:
         length_of(r"[^aeiouáàâãäéèêëíìîïóòôõöúùûüAEIOUÁÀÂÃÉÊÍÓÔÕÚ]+").alias("_vowels"),
         length_of(r"[^\p{Lu}]+").alias("_capitals"),
         length_of(r"[^ÃÂÐÑï¿½€™�\p{Cn}\p{Co}\p{Cc}&&[^\s]]+").alias("_odd"),
-        length_of(r"[^;,/·|>\t]+").alias("_marks"),
+        length_of(r"[^;/·|>\t]+").alias("_marks"),
+        length_of(r"[^,]+").alias("_commas"),
+        F.regexp_count("_t", F.lit(r"(?i)[bcdfghjklmnpqrstvwxzç]{4,}|[aeiouáàâãéêíóôõú]{3,}")).alias("_clusters"),
+        F.regexp_count("_t", F.lit(r"[.,;:!?](?<=\p{L}.)(?=\p{L})")).alias("_inner"),
         F.size("_common").alias("_c"),
         F.size(F.filter("_common", lambda w: w.isin(clause))).alias("_cl"),
         F.size(F.array_distinct("_words")).alias("_dw"),
@@ -95,6 +99,7 @@ def statistics(documents: DataFrame, text: str) -> DataFrame:
         inside(_MARKER).alias("_markers"),
         inside(_LEADER).alias("_leaders"),
         inside(_SHORT).alias("_short"),
+        inside(_CONTINUED).alias("_continued"),
     )
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     exprs = {
@@ -110,12 +115,16 @@ def statistics(documents: DataFrame, text: str) -> DataFrame:
         "distinct_share": ratio("_dw", "_w"),
         "repeated_share": F.when(F.col("_p") > 0, 1 - F.col("_dp") / F.col("_p")).otherwise(0.0),
         "separators_per_word": ratio("_marks", "_w"),
+        "commas_per_word": ratio("_commas", "_w"),
+        "clusters_per_word": ratio("_clusters", "_w"),
+        "inner_marks_per_word": ratio("_inner", "_w"),
         "words_per_line": ratio("_w", "_l"),
         "punctuated_share": ratio("_ends", "_l"),
         "cell_share": ratio("_cells", "_in_lines"),
         "marker_share": ratio("_markers", "_in_lines"),
         "leader_share": ratio("_leaders", "_in_lines"),
         "short_share": ratio("_short", "_in_lines"),
+        "continued_share": ratio("_continued", "_in_lines"),
     }
     return counted.select(*kept, "n_chars", *[exprs[s].alias(s) for s in STATISTICS])
 
