@@ -35,11 +35,11 @@ PHRASE_WORDS = {
 
 #: Names of the statistics that rules may test, in order.
 STATISTICS = (
-    "n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "vowel_ratio", "capital_ratio", "odd_ratio", "common_share", "clause_share", "distinct_share", "repeated_share", "separators_per_word", "commas_per_word",
-    "clusters_per_word", "inner_marks_per_word", "words_per_line", "punctuated_share", "cell_share", "marker_share", "leader_share", "short_share", "continued_share",
+    "n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "capital_ratio", "common_share", "clause_share", "distinct_share", "repeated_share", "separators_per_word",
+    "inner_marks_per_word", "words_per_line", "punctuated_share", "cell_share", "marker_share", "leader_share", "short_share", "continued_share",
 )
 
-_CELLS = r'\|[^|]*\||\t|;[^;\s][^;]{0,60};\S|"[,;]"|\S {2,}\S'
+_CELLS = r'\|[^|]*\||;[^;\s][^;]{0,60};\S|"[,;]"|(?<=\S) {2,}+\S'
 _MARKER = r"^(?:[-–—•*+·▪◦‣]|\[[ xX]?\]|\(?(?:\d{1,3}|[A-Za-z]|[ivx]{1,5})[).ºª°]+)\s+\S"
 _LEADER = r"\.{4,}\s*\d*$"
 _CONTINUED = r"^\p{Ll}"
@@ -57,66 +57,63 @@ def statistics(documents: DataFrame, text: str) -> DataFrame:
     """
     kept = [c for c in documents.columns if c not in (text, "n_chars", *STATISTICS)]
     raw = F.coalesce(F.col(text), F.lit(""))
-    plain = F.regexp_replace(F.regexp_replace(raw, r"(?i)</t[dh]>\s*<t[dh][^>]*>", "\t"), r"(?i)<li\b[^>]*>", "\n- ")
-    plain = F.regexp_replace(plain, r"(?i)</?(?:ul|ol|li|table|tbody|thead|tr|td|th|p|div|br|h[1-6])\b[^>]*>", "\n")
+    items = F.regexp_replace(F.regexp_replace(raw, r"(?i)</t[dh]>\s*<t[dh][^>]*>", "\t"), r"(?i)<li\b[^>]*>", "\n- ")
+    broken = F.regexp_replace(items, r"(?i)</?(?:ul|ol|li|table|tbody|thead|tr|td|th|p|div|br|h[1-6])\b[^>]*>", "\n")
+    plain = F.when(F.contains(raw, F.lit("<")), broken).otherwise(raw)
     base = documents.select(*kept, plain.alias("_t"))
     trimmed = F.transform(F.split("_t", r"[\r\n]+"), lambda s: F.trim(s))
     base = base.select(
         *kept,
         "_t",
-        F.filter(trimmed, lambda s: s != "").alias("_lines"),
-        F.filter(F.split(F.lower("_t"), r"[^\p{L}\p{M}]+"), lambda w: w != "").alias("_words"),
-        F.filter(F.split("_t", r"\s*(?:[.!?;|>·/,\t\r\n]\s*)+"), lambda s: s != "").alias("_parts"),
+        F.array_remove(trimmed, "").alias("_lines"),
+        F.array_remove(F.split(F.lower("_t"), r"[^\p{L}\p{M}]+"), "").alias("_words"),
+        F.array_remove(F.split("_t", r"[.!?;|>·/,\t\r\n]+ *"), "").alias("_parts"),
+        F.regexp_replace("_t", r"[\p{Ll}\s\xA0\u2000-\u200B\u3000]+", "").alias("_rest"),
     )
     clause = sorted({w for words in CLAUSE_WORDS.values() for w in words.split()})
     common = sorted({*clause, *(w for words in PHRASE_WORDS.values() for w in words.split())})
     base = base.withColumn("_common", F.filter("_words", lambda w: w.isin(common)))
-    length_of = lambda pattern: F.length(F.regexp_replace("_t", pattern, ""))
-    inside = lambda pattern: F.aggregate("_lines", F.lit(0), lambda n, s: n + F.when(s.rlike(pattern), F.length(s)).otherwise(0))
+    length_of = lambda pattern: F.length(F.regexp_replace("_rest", pattern, ""))
+    within = lambda test: F.aggregate("_lines", F.lit(0), lambda n, s: n + F.when(test(s), F.length(s)).otherwise(0))
+    inside = lambda pattern: within(lambda s: s.rlike(pattern))
+    marked = lambda s: s.contains("|") | s.contains(";") | s.contains("  ") | s.contains('","') | s.contains('";"')
     counted = base.select(
         *kept,
         F.length("_t").alias("n_chars"),
         F.size("_words").alias("_w"),
         F.size("_lines").alias("_l"),
         F.size("_parts").alias("_p"),
-        length_of(r"[^\p{L}\p{M}]+").alias("_letters"),
+        F.aggregate("_words", F.lit(0), lambda n, w: n + F.length(w)).alias("_letters"),
         length_of(r"[^0-9]+").alias("_digits"),
-        length_of(r"[\s\p{Z}]+").alias("_black"),
-        length_of(r"[^aeiouáàâãäéèêëíìîïóòôõöúùûüAEIOUÁÀÂÃÉÊÍÓÔÕÚ]+").alias("_vowels"),
-        length_of(r"[^\p{Lu}]+").alias("_capitals"),
-        length_of(r"[^ÃÂÐÑï¿½€™�\p{Cn}\p{Co}\p{Cc}&&[^\s]]+").alias("_odd"),
-        length_of(r"[^;/·|>\t]+").alias("_marks"),
-        length_of(r"[^,]+").alias("_commas"),
-        F.regexp_count("_t", F.lit(r"(?i)[bcdfghjklmnpqrstvwxzç]{4,}|[aeiouáàâãéêíóôõú]{3,}")).alias("_clusters"),
+        length_of(r"[\p{L}\p{M}0-9]+").alias("_symbols"),
+        length_of(r"[^A-ZÀ-ÖØ-Þ]+").alias("_capitals"),
+        length_of(r"[^;/·|>]+").alias("_marks"),
         F.regexp_count("_t", F.lit(r"[.,;:!?](?<=\p{L}.)(?=\p{L})")).alias("_inner"),
         F.size("_common").alias("_c"),
         F.size(F.filter("_common", lambda w: w.isin(clause))).alias("_cl"),
         F.size(F.array_distinct("_words")).alias("_dw"),
         F.size(F.array_distinct("_parts")).alias("_dp"),
         F.aggregate("_lines", F.lit(0), lambda n, s: n + F.length(s)).alias("_in_lines"),
-        F.size(F.filter("_lines", lambda s: s.rlike(r"[.!?…:;][\"'”»)]*$"))).alias("_ends"),
-        inside(_CELLS).alias("_cells"),
+        F.size(F.filter("_lines", lambda s: F.substring(s, -3, 3).rlike(r"[.!?…:;][\"'”»)]{0,2}$"))).alias("_ends"),
+        within(lambda s: s.contains("\t") | (marked(s) & s.rlike(_CELLS))).alias("_cells"),
         inside(_MARKER).alias("_markers"),
-        inside(_LEADER).alias("_leaders"),
+        within(lambda s: s.contains("....") & s.rlike(_LEADER)).alias("_leaders"),
         inside(_SHORT).alias("_short"),
         inside(_CONTINUED).alias("_continued"),
     )
+    counted = counted.withColumn("_black", F.col("_letters") + F.col("_digits") + F.col("_symbols"))
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     exprs = {
         "n_words": F.col("_w").cast("double"),
         "mean_word_length": ratio("_letters", "_w"),
-        "symbol_ratio": F.when(F.col("_black") > 0, (F.col("_black") - F.col("_letters") - F.col("_digits")) / F.col("_black")).otherwise(0.0),
+        "symbol_ratio": ratio("_symbols", "_black"),
         "digit_ratio": ratio("_digits", "_black"),
-        "vowel_ratio": ratio("_vowels", "_letters"),
         "capital_ratio": ratio("_capitals", "_letters"),
-        "odd_ratio": ratio("_odd", "_black"),
         "common_share": ratio("_c", "_w"),
         "clause_share": ratio("_cl", "_w"),
         "distinct_share": ratio("_dw", "_w"),
         "repeated_share": F.when(F.col("_p") > 0, 1 - F.col("_dp") / F.col("_p")).otherwise(0.0),
         "separators_per_word": ratio("_marks", "_w"),
-        "commas_per_word": ratio("_commas", "_w"),
-        "clusters_per_word": ratio("_clusters", "_w"),
         "inner_marks_per_word": ratio("_inner", "_w"),
         "words_per_line": ratio("_w", "_l"),
         "punctuated_share": ratio("_ends", "_l"),
