@@ -7,6 +7,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The pattern of an address, the mark of censored words and what is shown for it, the pattern of tags and entities.
+EMAIL = r"^[a-zA-Z0-9.a-zA-Z0-9.!#$%&'*+-/=?^_`{|}~]+@[a-zA-Z0-9]+\.[a-zA-Z]+"
+CENSORED, SHOWN = "<censored>", "CENSURADO"
+MARKUP = r"<[^>]*>|&[^;]+;"
+
 
 def contains_ignoring_case(text: Column, needle: str) -> Column:
     """Literal, case-insensitive containment; no character is a wildcard."""
@@ -15,8 +20,8 @@ def contains_ignoring_case(text: Column, needle: str) -> Column:
 
 def stripped_html(html: Column) -> Column:
     """A readable line of text: the censoring mark in words, no line feeds, no tags, no entities."""
-    marked = F.replace(html, F.lit("<censored>"), F.lit("CENSURADO"))
-    return F.regexp_replace(F.replace(marked, F.lit("\n"), F.lit("")), r"<[^>]*>|&[^;]+;", "")
+    marked = F.replace(html, F.lit(CENSORED), F.lit(SHOWN))
+    return F.regexp_replace(F.replace(marked, F.lit("\n"), F.lit("")), MARKUP, "")
 
 
 def trimmed(text: Column) -> Column:
@@ -31,7 +36,7 @@ def hashed(text: Column) -> Column:
 
 def looks_like_email(text: Column) -> Column:
     """Whether a text begins like an address: what follows the match is not tested. Null is false."""
-    return F.coalesce(F.length(text) > 0, F.lit(False)) & F.coalesce(text.rlike(r"^[a-zA-Z0-9.]+@[a-zA-Z0-9]+\.[a-zA-Z]+"), F.lit(False))
+    return F.coalesce(F.length(text) > 0, F.lit(False)) & F.coalesce(text.rlike(EMAIL), F.lit(False))
 
 
 def identifier_kind(text: Column) -> Column:

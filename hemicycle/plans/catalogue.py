@@ -359,7 +359,7 @@ def password_hash(spark, d):
     return domain.users(spark, d).select("Id", text.hashed(F.col("Password")).alias("hash"))
 
 
-@query("select Id, coalesce(regexp_matches(regexp_replace(Email, '^\\s+|\\s+$', '', 'g'), '^[a-zA-Z0-9.]+@[a-zA-Z0-9]+\\.[a-zA-Z]+'), false) as valid, case when contains(Email, '@') then 'email' else 'userName' end as kind from people")
+@query("select Id, coalesce(regexp_matches(regexp_replace(Email, '^\\s+|\\s+$', '', 'g'), '" + text.EMAIL.replace("'", "''") + "'), false) as valid, case when contains(Email, '@') then 'email' else 'userName' end as kind from people")
 def email_valid(spark, d):
     return domain.users(spark, d).select("Id", text.looks_like_email(text.trimmed(F.col("Email"))).alias("valid"), text.identifier_kind(F.col("Email")).alias("kind"))
 
