@@ -51,3 +51,11 @@ def missing_values(rows: DataFrame, *required: str) -> DataFrame:
 def duplicate_keys(rows: DataFrame, *key: str) -> DataFrame:
     """Keys with more than one row, and how many."""
     return rows.groupBy(*key).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+
+
+def first_broken_rule(rules: Sequence[tuple[str, Column]]) -> Column:
+    """The message of the first rule whose condition holds, null for none; a null condition does not hold."""
+    out = F.lit(None).cast("string")
+    for message, broken in reversed(rules):
+        out = F.when(broken, message).otherwise(out)
+    return out

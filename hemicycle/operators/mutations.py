@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,3 +62,8 @@ def detached(rows: DataFrame, column: str, *values) -> DataFrame:
 def emptied(rows: DataFrame) -> DataFrame:
     """No rows, the same columns."""
     return rows.where(F.lit(False))
+
+
+def migrated(rows: DataFrame, renamed: Mapping[str, str], added: Mapping[str, Column], dropped: Sequence[str] = ()) -> DataFrame:
+    """The table in a new shape: columns dropped, then renamed, then added."""
+    return rows.drop(*dropped).withColumnsRenamed(dict(renamed)).withColumns(dict(added))

@@ -34,3 +34,11 @@ def for_each(rows: DataFrame, other: DataFrame, *columns: str) -> DataFrame:
     """Every row with every row of a small table, given as a scalar array: the table must be one whose size is fixed."""
     everything = other.select(F.struct(*columns).alias("r")).agg(F.array_sort(F.collect_list("r")).alias("all")).scalar()
     return rows.select("*", F.explode(everything).alias("_each")).select(*rows.columns, *[F.col(f"_each.{c}").alias(c) for c in columns])
+
+
+def by_first_key(rows: DataFrame, others: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``rows`` with the row of ``others`` that has the same value in the first of ``keys`` that is not null in ``rows``; null where there is none, or no key."""
+    given = F.coalesce(*[F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("key"), F.col(k).alias("value"))) for k in keys])
+    known = others.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in keys])).alias("_known")).where("_known.value is not null")
+    one = known.groupBy(F.col("_known").alias("_at")).agg(F.min(F.struct(*others.columns)).alias(name))
+    return rows.withColumn("_given", given).join(one, F.col("_given") == F.col("_at"), "left").drop("_given", "_at")

@@ -138,6 +138,14 @@ def pk_violations(spark, d):
     return filters.duplicate_keys(read_table(spark, d, "proposals", "Id"), "Id")
 
 
+@query("select Id, case when coalesce(UserName, '') = '' then 'user name is missing' when contains(Email, '@') and not regexp_matches(Email, '" + text.EMAIL.replace("'", "''") + "') then 'invalid email' when coalesce(Password, '') = '' then 'password is missing' end as error from people")
+def validate_users(spark, d):
+    """The first rule that each user breaks, null for none."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    rules = [("user name is missing", empty("UserName")), ("invalid email", F.col("Email").contains("@") & ~text.looks_like_email(F.col("Email"))), ("password is missing", empty("Password"))]
+    return domain.users(spark, d).select("Id", filters.first_broken_rule(rules).alias("error"))
+
+
 # Lookups and nesting
 
 
@@ -206,6 +214,13 @@ def seed_user_party_stats(spark, d):
     return rows.select(F.col("Id").alias("UserId"), "partyAcronym", F.lit(0.0).alias("PartyAffectionScore"), F.lit(0).alias("totalAmountOfProposalsVotedOn"), F.lit(0.0).alias("totalAffectionPoints"))
 
 
+@query("select b.Id, (select min(s.Id) from party_stats s where s.UserId = 7 and s.PoliticalPartypartyAcronym = b.politicalPartyAcronym) as stat_id from parts b")
+def block_stat_lookup(spark, d):
+    """The statistic that one user has for the party of each block, if any."""
+    own = domain.stats(spark, d).where("UserId = 7").select("PoliticalPartypartyAcronym", "Id")
+    return nesting.with_parent(domain.blocks(spark, d), "politicalPartyAcronym", own, "PoliticalPartypartyAcronym", "stat").select("Id", F.col("stat.Id").alias("stat_id"))
+
+
 # Counters, scores, affinity
 
 _SCORED = """, scored as (select v.*, VotingResultGeneralityId as gid, ProposingPartypartyAcronym as proposer from ballots v join laws l on l.Id = v.ProjectLawID join voting_results r on r.Id = VotingResultGeneralityId),
@@ -273,6 +288,13 @@ def best_affinity_per_user(spark, d):
     return party_affinity(spark, d).groupBy("UserId").agg(F.max("affinity").alias("affinity"))
 
 
+@query(f"select UserId, party, affinity from (select *, row_number() over (partition by UserId order by affinity desc, party) as place from ({_WITH}{_AFFINITY}) t) where place = 1")
+def best_party_per_user(spark, d):
+    """The party of each user's highest affinity, the first in byte order among equals."""
+    best = F.min(F.struct((-F.col("affinity")).alias("lost"), "party")).alias("best")
+    return party_affinity(spark, d).groupBy("UserId").agg(best).select("UserId", "best.party", (-F.col("best.lost")).alias("affinity"))
+
+
 # Weighted choice
 
 
@@ -423,6 +445,23 @@ def delete_all(spark, d):
     return mutations.emptied(domain.proposals(spark, d)).agg(F.count("*").alias("n_rows"))
 
 
+_LOGINS = "(values (1, 'moinho.2@example.org', null, 'social'), (2, null, 'moinho_2', 'wrong'), (3, null, 'no such name', 'x'), (4, null, null, 'x')) t(request, Email, UserName, Password)"
+
+
+@query(f"select request, u.Id, u.Password = t.Password as same_password from {_LOGINS} left join people u on case when t.Email is not null then u.Email = t.Email else u.UserName = t.UserName end")
+def login_lookup(spark, d):
+    """Requests with the user of their address or, without address, of their name."""
+    asked = spark.createDataFrame([(1, "moinho.2@example.org", None, "social"), (2, None, "moinho_2", "wrong"), (3, None, "no such name", "x"), (4, None, None, "x")], "request int, Email string, UserName string, Password string")
+    found = nesting.by_first_key(asked, domain.users(spark, d, "Id", "Email", "UserName", "Password"), ["Email", "UserName"], "user")
+    return found.select("request", "user.Id", (F.col("user.Password") == F.col("Password")).alias("same_password"))
+
+
+@query("select Id as id, ProposalTitle as title, FullProposalTextLink as \"fullTextUrl\", 0 as views from laws")
+def migrated_proposals(spark, d):
+    """Renamed, added and dropped columns."""
+    return mutations.migrated(domain.proposals(spark, d), {"Id": "id", "ProposalTitle": "title", "FullProposalTextLink": "fullTextUrl"}, {"views": F.lit(0)}, [c for c in domain.PROPOSAL_COLUMNS if c not in ("Id", "ProposalTitle", "FullProposalTextLink")])
+
+
 _SIGN_UPS = "(values (-1, 'moinho_2', 'new@example.org'), (-2, 'someone_new', 'moinho.2@example.org'), (-3, 'nobody_yet', 'nobody@example.org'), (-4, 'moinho_2', 'moinho.2@example.org')) t(Id, UserName, Email)"
 
 

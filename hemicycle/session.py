@@ -34,7 +34,7 @@ def scratch_dir(spark: SparkSession) -> str:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         shared = jvm_dir.get() if jvm_dir.isDefined() else None
     if not shared:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="hemicycle-")
         spark.conf.set("spark.checkpoint.dir", shared)
