@@ -44,7 +44,7 @@ _LINE_START = rf"(?:\A|(?<=[»”])|(?<=</{_BLOCK}>)|(?<=<br ?/?>)|[\r\n]|<(?:p|
 _LEAD = rf"(?:\s|\xA0|&nbsp;|</?{_INLINE}[^>]*>|<(?:br|p|div|h[1-6]|section|article|header|center)\b[^>]*>)*+"
 _WORD = _GAP.join(["[Aa]", "[Rr]", "[Tt]", rf"(?:{_GAP.join(['[Ii]', '[Gg]', '[Oo]'])}|\.)?"])
 _SIGN = r"(?:[ºª°]|&ordm;|&ordf;|&deg;)"
-_ORDINAL = "(?:" + "|".join(w.replace("e", "(?:[eé]|&eacute;)") for w in sorted(ORDINALS, key=len, reverse=True)) + ")"
+_ORDINAL = "(?:" + "|".join(w.replace("e", "(?:[eéÉ]|&eacute;)") for w in sorted(ORDINALS, key=len, reverse=True)) + ")"
 _NUMBER = rf"(\d{{1,4}}+(?!\d)|[IVXLCDM]{{1,9}}+(?!\p{{L}})|(?i:{_ORDINAL}(?:[ \xA0-]{_ORDINAL}){{0,2}})(?!\p{{L}}))"
 _TITLE_CHARACTER = r"(?:[^<>\r\n.;&]|&\w{2,8};)"
 _TITLE = rf"(?:{_GAP}[-–—:.]?{_GAP}(?:\({_TITLE_CHARACTER}{{1,160}}\)|(?:&\w{{2,8}};|\p{{Lu}}){_TITLE_CHARACTER}{{0,160}}+))?"
