@@ -1,11 +1,11 @@
 """Splitting oversized bills at natural boundaries.
 
-Regular expressions do the work. One pass cuts a text into tokens, among them the headings of the
-bill's own articles; what a reader cannot see and what the text quotes from other laws are tokens of
-their own, so that no heading is found in them. The headings are marked in place, which keeps every
-offset. Then an expression with bounded quantifiers consumes the marked text piece by piece, its
-alternatives ordered by the strength of the boundary, with a plain character count as the last one.
-Pieces are offsets until the end; the overlap is a look back in the text as stored.
+Regular expressions do the work. One pass goes from heading to heading of the bill's own articles;
+it steps over what a reader cannot see and what the text quotes from other laws, so that no heading
+is found in them. The headings are marked in place, which keeps every offset. Then an expression with
+bounded quantifiers consumes the marked text piece by piece, its alternatives ordered by the strength
+of the boundary, with a plain character count as the last one. Pieces are offsets until the end; the
+overlap is a look back in the text as stored.
 """
 
 from __future__ import annotations
@@ -24,42 +24,75 @@ ORDINALS = {
 # Roman digits, and the pairs whose first digit is subtracted.
 ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000, "IV": -2, "IX": -2, "XL": -20, "XC": -20, "CD": -200, "CM": -200}
 
-_INLINE = r"(?:b|i|u|em|strong|span|font|a|small|big)\b"
-_BLOCK = r"(?:p|div|h[1-6]|ol|ul|table|blockquote|section|article|header|center)"
-_SPACE = r"[ \t\x0B\f\xA0]"
-_GAP = rf"(?:{_SPACE}|&nbsp;|</?{_INLINE}[^>]*>)*+"
+_TAG = r"[^<>]*+>"
+_HIDES = r"(?=[^<>]*?(?:\shidden\b|display\s*+:\s*+none|visibility\s*+:\s*+hidden))"
+_LINE_TAGS = r"(?i:p|div|h[1-6]|section|article|header|center)\b"
+_BLOCK = r"(?i:p|div|h[1-6]|ol|ul|table|blockquote|section|article|header|center)"
+_INLINE = rf"</?(?i:b|i|u|em|strong|span|font|a|small|big|sup)\b(?!{_HIDES}){_TAG}"
+_VOID = r"(?:area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr)\b"
+_NBSP = r"&(?:nbsp|#160|#[xX]0*[aA]0);"
+_GAP = rf"(?:[ \t\x0B\f\xA0]|{_NBSP}|{_INLINE})*+"
+
+
+def _mark(plain: str, name: str, code: int) -> str:
+    """A character as itself, by its name or by its number."""
+    return rf"(?:{plain}|&(?:{name}|#{code}|#[xX](?i:{code:x}));)"
+
+
+def _quotation(opens: str, closes: str, entity: str, marks: str) -> str:
+    """A quotation with quotations in it, three deep. An opening mark without partner fails at the third mark after it at the latest."""
+    text = rf"[^{marks}&]*+(?:&(?!{entity})[^{marks}&]*+)*+"
+    out = rf"{opens}{text}{closes}"
+    for _ in range(2):
+        out = rf"{opens}{text}(?:{out}{text})*+{closes}"
+    return out
+
+
+def _element(opening: str, name: str) -> str:
+    """An element with elements of its name in it, two deep; else up to the next closing tag, or to the end, where HTML closes what is open."""
+    text, closing = rf"(?:(?!</?{name}\b).)*+", rf"</{name}\s*+>"
+    return rf"{opening}(?:{text}(?:<{name}\b{_TAG}{text}{closing}{text})*+{closing}|.*?(?:{closing}|\z))"
+
+
+_ANGLE, _CURLY = r"(?:[lr]aquo|#1[78][17]|#[xX](?i:ab|bb));", r"(?:[lr]dquo|#822[01]|#[xX](?i:201[cd]));"
 _UNSEEN = "|".join([
-    r"<!--.*?-->",
-    r"<(?:script|style|template)\b.*?</(?:script|style|template)\s*>",
-    r"<(?<hid>\w+)\b[^>]*(?:\shidden\b|display\s*:\s*none|visibility\s*:\s*hidden)[^>]*>.*?</\k<hid>\s*>",
+    r"<!--.*?(?:-->|\z)",
+    r"(?i:<(?<raw>script|style|template)\b.*?(?:</\k<raw>\s*+>|\z))",
+    f"(?i:{_element(rf'<(?<hid>(?!{_VOID})\w++){_HIDES}{_TAG}', r'\k<hid>')})",
 ])
 _QUOTED = "|".join([
-    r"<blockquote\b.*?</blockquote\s*>",
-    r"«[^«»]*+(?:«[^«»]*+»[^«»]*+)*+»",
-    r"“[^“”]*+(?:“[^“”]*+”[^“”]*+)*+”",
-    r"&laquo;.*?&raquo;",
-    r"&ldquo;.*?&rdquo;",
+    f"(?i:{_element(rf'<blockquote\b{_TAG}', 'blockquote')})",
+    _quotation(_mark("«", "laquo", 171), _mark("»", "raquo", 187), _ANGLE, "«»"),
+    _quotation(_mark("“", "ldquo", 8220), _mark("”", "rdquo", 8221), _CURLY, "“”"),
 ])
-_LINE_START = rf"(?:\A|(?<=[»”])|(?<=</{_BLOCK}>)|(?<=<br ?/?>)|[\r\n]|<(?:p|div|h[1-6]|section|article|header|center)\b[^>]*>)"
-_LEAD = rf"(?:\s|\xA0|&nbsp;|</?{_INLINE}[^>]*>|<(?:br|p|div|h[1-6]|section|article|header|center)\b[^>]*>)*+"
+_AFTER = rf"(?:\A|(?<=[»”]|&r[ad]quo;|&#187;|&#8221;)|(?<=</{_BLOCK}>)|(?<=<(?i:br)\s?/?>))"
+_OPENS = rf"(?=[\r\n]|<{_LINE_TAGS}(?!{_HIDES}){_TAG})"
+_BETWEEN = rf"(?:\s|\xA0|{_NBSP}|{_INLINE}|<(?:(?i:br)\b|{_LINE_TAGS})(?!{_HIDES}){_TAG})"
 _WORD = _GAP.join(["[Aa]", "[Rr]", "[Tt]", rf"(?:{_GAP.join(['[Ii]', '[Gg]', '[Oo]'])}|\.)?"])
-_SIGN = r"(?:[ºª°]|&ordm;|&ordf;|&deg;)"
-_ORDINAL = "(?:" + "|".join(w.replace("e", "(?:[eéÉ]|&eacute;)") for w in sorted(ORDINALS, key=len, reverse=True)) + ")"
-_NUMBER = rf"(\d{{1,4}}+(?!\d)|[IVXLCDM]{{1,9}}+(?!\p{{L}})|(?i:{_ORDINAL}(?:[ \xA0-]{_ORDINAL}){{0,2}})(?!\p{{L}}))"
-_TITLE_CHARACTER = r"(?:[^<>\r\n.;&]|&\w{2,8};)"
-_TITLE = rf"(?:{_GAP}[-–—:.]?{_GAP}(?:\({_TITLE_CHARACTER}{{1,160}}\)|(?:&\w{{2,8}};|\p{{Lu}}){_TITLE_CHARACTER}{{0,160}}+))?"
-_LINE_END = rf"(?={_GAP}(?:[\r\n]|</?{_BLOCK}\b|<[bh]r\b|\z))"
-_HEADING = rf"{_LINE_START}{_LEAD}{_WORD}{_GAP}(?:[Nn]\.?{_GAP}(?:{_SIGN}|o){_GAP})?{_NUMBER}{_GAP}(?:\.?{_GAP}{_SIGN})?+(?!-\p{{Lu}}\b){_TITLE}{_GAP}\.?{_LINE_END}"
-_TOKEN = rf"(?s){_UNSEEN}|{_QUOTED}|{_HEADING}|[^<>«“&\r\n]++(?:&(?!l[ad]quo;)[^<>«“&\r\n]*+)*+>?+|."
-
-_PARAGRAPH_END = r"(?<=[>\n])(?<=</p>|</div>|</li>|</ol>|</ul>|</tr>|</table>|</blockquote>|</h[1-6]>|<br>|<br/>|<br />|\n)(?!\n)"
+_SIGN = r"(?:[ºª°]|(?i:&(?:ordm|ordf|deg|#170|#176|#186|#xaa|#xb0|#xba);)|[oa](?=\s?</(?i:sup)>))"
+_ACUTE = r"(?:[eéÉ]|&(?:eacute|#233|#201|#xe9|#xc9);)"
+_ORDINAL = "(?:" + "|".join(w.replace("e", _ACUTE) for w in sorted(ORDINALS, key=len, reverse=True)) + ")"
+_NUMBER = rf"(?:\d{{1,4}}+(?!\d)|(?i:{_ORDINAL}(?:[ \xA0-]{_ORDINAL}){{0,2}})(?!\p{{L}})|[IVXLCDM]{{1,9}}+(?!\p{{L}}))"
+_BEFORE_NUMBER = rf"{_BETWEEN}*+{_WORD}{_GAP}(?:[Nn]\.?{_GAP}(?:{_SIGN}|o){_GAP})?"
+_REST_OF_LINE = r"[^<>\r\n.;&]*+(?:&#?\w{2,8};[^<>\r\n.;&]*+)*+"
+_TITLE = rf"(?:{_GAP}[-–—:.]?{_GAP}(?:\({_REST_OF_LINE}(?<=\)[ \t\xA0]{{0,9}})|(?:&#?\w{{2,8}};|\p{{Lu}}){_REST_OF_LINE}))?"
+_LINE_END = rf"(?={_GAP}(?:[\r\n]|</?{_BLOCK}\b|<(?i:[bh]r)\b|\z))"
+_HEADING = rf"(?:{_AFTER}|{_OPENS}){_BEFORE_NUMBER}{_NUMBER}{_GAP}(?:\.?{_GAP}{_SIGN})?+(?!-\p{{Lu}}\b){_TITLE}{_GAP}\.?{_LINE_END}"
+# What stands between two lines is passed over at one go: where no heading begins at its start, none begins in it.
+_RUN = rf"(?:{_AFTER}|{_OPENS}){_BETWEEN}++"
+_TEXT = rf"[^<«“&\r\n]*+(?:&(?!{_ANGLE}|{_CURLY})[^<«“&\r\n]*+)*+"
+_PASSED = rf"</?\w{_TAG}|(?=[^<«“\r\n])(?!&(?:{_ANGLE}|{_CURLY})){_TEXT}|."
+#: Everything up to a heading, and the heading; at last what follows the last heading, and nothing.
+_TO_HEADING = rf"(?s)(?<before>(?:{_UNSEEN}|{_QUOTED}|(?!{_HEADING})(?:{_RUN}|{_PASSED}))*+)(?<heading>{_HEADING}|\z)"
+
+_PARAGRAPH_END = r"(?<=[>\n])(?<=</(?i:p|div|li|ol|ul|tr|table|blockquote|h[1-6])>|<(?i:br)\s?/?>|\n)(?!\n)"
 _SENTENCE_END = r"(?<=[\s\xA0])(?<=[.!?;…][\"'”»)]?[\s\xA0])"
 
 
 def article_number(written: Column) -> Column:
     """The number of an article from digits, Roman digits or Portuguese ordinals."""
     roman = sum((F.regexp_count(written, F.lit(d)) * v for d, v in ROMAN.items()), F.lit(0))
-    plain = F.translate(F.lower(F.regexp_replace(written, "&[eE]acute;", "e")), "éêè", "eee")
+    plain = F.translate(F.lower(F.regexp_replace(written, f"(?i){_ACUTE}", "e")), "êè", "ee")
     values = F.create_map(*[F.lit(x) for kv in ORDINALS.items() for x in kv])
     words = F.aggregate(F.split(plain, r"[\s\xA0-]+"), F.lit(0), lambda total, w: total + F.coalesce(values[w], F.lit(0)))
     return F.when(written.rlike(r"^\d+$"), F.try_to_number(written, F.lit("9999")).cast("int")).when(written.rlike("^[IVXLCDM]+$"), roman).otherwise(words).cast("int")
@@ -81,27 +114,18 @@ def _let(value: Column, body) -> Column:
 
 
 def _starts(lengths: Column) -> Column:
-    """Offsets from the lengths of consecutive parts."""
+    """Offsets from the lengths of consecutive parts. An array grows by copying, so the sums are taken within rows of about the root of their number, and over the rows."""
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    return F.aggregate(lengths, first, lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["starts"], s["at"]).alias("starts")), lambda s: s["starts"])
-
+    add = lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["starts"], s["at"]).alias("starts"))
+    sums = lambda values: F.aggregate(values, first, add, lambda s: s["starts"])
 
-def _marked(tokens: Column, numbers: Column) -> Column:
-    return F.array_join(F.zip_with(tokens, numbers, lambda t, n: F.when(n != "", F.concat(F.lit(MARK), F.substr(t, F.lit(2)))).otherwise(t)), "")
+    def by_rows(known: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(known))).cast("int")
+        rows = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(known) / width).cast("int") - 1, F.lit(0))), lambda i: F.slice(known, i * width + 1, width))
+        totals = F.transform(rows, lambda row: F.aggregate(row, F.lit(0), lambda total, n: total + n))
+        return F.flatten(F.zip_with(rows, sums(totals), lambda row, before: F.transform(sums(row), lambda at: at + before)))
 
-
-def _with_articles(starts: Column, lengths: Column, heads: Column, numbers: Column) -> Column:
-    """The pieces, each with the numbers of the headings that begin in it."""
-    placed = F.zip_with(heads, numbers, lambda at, number: F.struct(at.alias("at"), number.alias("number")))
-
-    def all_pieces(known: Column) -> Column:
-        def piece(part: Column, i: Column) -> Column:
-            inside = F.filter(known, lambda h: (h["at"] >= part["start"]) & (h["at"] < part["start"] + part["length"]))
-            return F.struct((i + 1).alias("piece_no"), part["start"].alias("start"), part["length"].alias("length"), F.transform(inside, lambda h: h["number"]).alias("articles"))
-
-        return F.transform(F.zip_with(starts, lengths, lambda s, n: F.struct(s.alias("start"), n.alias("length"))), piece)
-
-    return _let(placed, all_pieces)
+    return F.when(F.size(lengths) > 0, _let(lengths, by_rows)).otherwise(F.array().cast("array<int>"))
 
 
 def split_plan(texts: DataFrame, key: str, text: str, limit: int = 6000, overlap: int = 300) -> DataFrame:
@@ -111,23 +135,32 @@ def split_plan(texts: DataFrame, key: str, text: str, limit: int = 6000, overlap
     piece; a piece is that part with the ``overlap`` characters before it. Parts are consecutive and
     cover the text. A part ends before an own article's heading if one begins in reach, else after a
     paragraph, a sentence, a word, or at the limit. ``articles`` are the numbers of own articles whose
-    heading begins in the part. Null, empty and shorter texts yield no row. An opening quotation mark
-    without its partner quotes nothing.
+    heading begins in the part: up to four decimal digits, nine Roman ones, or three ordinal words.
+    Null, empty and shorter texts yield no row. An opening quotation mark without its partner quotes
+    nothing; an element or a comment that is never closed ends with the text, as in HTML. The time is
+    in proportion to the length, whatever is left open.
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be smaller than the limit")
 
-    def offsets(marked: Column, numbers: Column) -> Column:
-        before = F.transform(F.split(marked, MARK), lambda s: F.length(s) + 1)
-        lengths = F.transform(F.regexp_extract_all(marked, F.lit(_pieces_pattern(limit, overlap)), F.lit(0)), F.length)
-        heads = _let(before, lambda b: F.transform(F.slice(_starts(b), 2, F.greatest(F.size(b) - 1, F.lit(0))), lambda at: at - 1))
-        return _let(F.struct(heads.alias("heads"), lengths.alias("lengths")), lambda x: _let(_starts(x["lengths"]), lambda s: _with_articles(s, x["lengths"], x["heads"], numbers)))
-
     plain = F.translate(F.col(text), MARK, " ")
-    found = F.struct(F.regexp_extract_all(plain, F.lit(_TOKEN), F.lit(0)).alias("tokens"), F.regexp_extract_all(plain, F.lit(_TOKEN), F.lit(2)).alias("numbers"))
-    numbered = lambda x: F.transform(F.filter(x["numbers"], lambda n: n != ""), article_number)
-    plan = _let(found, lambda x: _let(F.struct(_marked(x["tokens"], x["numbers"]).alias("marked"), numbered(x).alias("numbers")), lambda y: offsets(y["marked"], y["numbers"])))
-    return texts.where(F.length(text) > limit).select(key, text, plan.alias("pieces"))
+    inserted = F.rtrim(F.regexp_replace(plain, F.lit(_TO_HEADING), F.lit("${before}" + MARK + "${heading}")), F.lit(MARK))
+    numbers = lambda x: F.transform(F.regexp_extract_all(x, F.lit(rf"{MARK}{_BEFORE_NUMBER}({_NUMBER})"), F.lit(1)), article_number)
+    parts = lambda x: F.transform(
+        F.regexp_extract_all(F.regexp_replace(x, f"(?s){MARK}.", MARK), F.lit(_pieces_pattern(limit, overlap)), F.lit(0)),
+        lambda p: F.struct(F.length(p).alias("length"), (F.length(p) - F.length(F.replace(p, F.lit(MARK)))).alias("headings")),
+    )
+    read = _let(inserted, lambda x: F.struct(numbers(x).alias("numbers"), parts(x).alias("parts")))
+    placed = _let(read, lambda r: F.struct(r["numbers"].alias("numbers"), r["parts"].alias("parts"), _starts(r["parts"]["length"]).alias("starts"), _starts(r["parts"]["headings"]).alias("firsts")))
+
+    def numbered(r: Column) -> Column:
+        def piece(part: Column, i: Column) -> Column:
+            articles = F.slice(r["numbers"], F.get(r["firsts"], i) + 1, part["headings"])
+            return F.struct((i + 1).alias("piece_no"), F.get(r["starts"], i).alias("start"), part["length"].alias("length"), articles.alias("articles"))
+
+        return F.transform(r["parts"], piece)
+
+    return texts.where(F.length(text) > limit).select(key, text, _let(placed, numbered).alias("pieces"))
 
 
 def pieces(texts: DataFrame, key: str, text: str, limit: int = 6000, overlap: int = 300) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from hemicycle.llm import split
 
@@ -28,6 +30,19 @@ def own(spark, text):
         ('<div class="a1"><span>Artigo&nbsp;7.º</span></div>', 7),
         ("\r\nArtigo 8º\r\n", 8),
         ("<p>Artigo 9.º: Objeto</p>", 9),
+        ("<P><B>Artigo 1.º</B></P>", 1),
+        ("<H3>ARTIGO 2.º</H3>", 2),
+        ("<p>Artigo 3.&#186;</p>", 3),
+        ("<p>Artigo 4.&#xBA;</p>", 4),
+        ("<p>Artigo&#160;5.º</p>", 5),
+        ("<BR>Artigo 6.<sup>o</sup><BR>", 6),
+        ("<p>ARTIGO D&#201;CIMO PRIMEIRO</p>", 11),
+        ("<p>Artigo 7.º - " + "Dos deveres de quem ensina e de quem aprende, " * 8 + "e do mais</p>", 7),
+        ("<p>Artigo 8.º (" + "Âmbito (em geral) " * 20 + ")</p>", 8),
+        ("<p>x<</p><p>Artigo 10.º</p>", 10),
+        ("<input hidden><p>Artigo 12.º</p>", 12),
+        ("<p>« x « y</p><p>Artigo 13.º</p>", 13),
+        ("&laquo;citado&#187;<p>Artigo 14.º</p>", 14),
     ],
 )
 def test_headings_however_written(spark, heading, number):
@@ -49,6 +64,15 @@ def test_headings_however_written(spark, heading, number):
         '<p style="display: none">\nArtigo 4.º\n</p>',
         "<ul><li>Artigo 5.º</li></ul>",
         "<h3>Arte 5</h3>",
+        "<div hidden><div>x</div><h3>Artigo 3.º</h3></div>",
+        "<br><p style='visibility:hidden'>Artigo 3.º</p>",
+        "<P HIDDEN>\nArtigo 3.º</P>",
+        "<p><span hidden>Artigo 3.º</span></p>",
+        "&#171;<p>Artigo 3.º</p>&#xBB;",
+        "«a «b «<p>Artigo 3.º</p>» c»<p>Artigo 4.º</p>»",
+        "<blockquote>a<blockquote>b</blockquote><p>Artigo 3.º</p></blockquote>",
+        "<!-- never closed <p>Artigo 3.º</p>",
+        "<SCRIPT>\nArtigo 3.º\n</SCRIPT>",
     ],
 )
 def test_what_is_no_own_heading(spark, text):
@@ -91,5 +115,24 @@ def test_very_long_text_and_bad_parameters(spark):
         split.split_plan(spark.createDataFrame([], "Id int, t string"), "Id", "t", 10, 10)
 
 
+@pytest.mark.parametrize("unit", ["&laquo; x ", "<a b ", "<!-- x ", "<br>", "« x ", "««a» ", "<p hidden>x ", "<div hidden><div>", "<blockquote>x ", "\n", "<p>A<b>", "\nArtigo 5 (b ", "“ «", "< ", "<script>"])
+def test_time_follows_length(spark, unit):
+    """Openings without end, and runs of what may come before a heading: four times the text takes nothing like sixteen times as long."""
+    seconds = []
+    for n in (500_000, 500_000, 2_000_000):
+        df = spark.createDataFrame([(1, (unit * (n // len(unit) + 1))[:n])], "Id int, t string")
+        began = time.perf_counter()
+        assert [len(r.pieces) > n // 6000 for r in split.split_plan(df, "Id", "t").collect()] == [True]
+        seconds.append(time.perf_counter() - began)
+    assert seconds[2] < 10 and seconds[2] < 8 * max(seconds[1], 0.3)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 15, 16, 17, 1000])
+def test_offsets_are_prefix_sums(spark, n):
+    lengths = [(7 * i) % 11 for i in range(n)]
+    df = spark.createDataFrame([(lengths,)], "x array<int>")
+    assert df.select(split._starts(F.col("x")).alias("s")).first().s == [sum(lengths[:i]) for i in range(n)]
+
+
 def test_empty_table(spark):
     assert split.pieces(spark.createDataFrame([], "Id int, t string"), "Id", "t").count() == 0
