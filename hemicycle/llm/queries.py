@@ -80,17 +80,25 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_report(spark, d).where("not reachable").select("mix_id", "source")
 
 
-def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """The statistics of every document and its kind by the rules that its labelled documents give."""
-    documents = read_table(spark, d, "documents", "doc_id", "text")
-    rules = quality.fit(documents, read_table(spark, d, "doc_labels", "doc_id", "kind"), "doc_id", "text")
-    return quality.kinds(documents, rules, "text")
+def _rules(spark: SparkSession, d: str) -> list[quality.Rule]:
+    return quality.fit(read_table(spark, d, "documents", "doc_id", "text"), read_table(spark, d, "doc_labels", "doc_id", "kind"), "doc_id", "text")
 
 
-def p8_found(spark: SparkSession, d: str) -> DataFrame:
+def p8_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The rules that the labelled documents give, in order."""
+    rules = [(i + 1, r.kind, r.sql()) for i, r in enumerate(_rules(spark, d))]
+    return spark.createDataFrame(rules, "rule_no int, kind string, condition string")
+
+
+def p8_statistics(spark: SparkSession, d: str, rules: list[quality.Rule] | None = None) -> DataFrame:
+    """The statistics of every document and its kind, by given rules or by those that the labelled documents give; given rules save one reading of the texts."""
+    return quality.kinds(read_table(spark, d, "documents", "doc_id", "text"), rules or _rules(spark, d), "text")
+
+
+def p8_found(spark: SparkSession, d: str, rules: list[quality.Rule] | None = None) -> DataFrame:
     """Documents that are not natural prose."""
     kind = F.col("kind")  # a generator, so that the statistics are not computed again for a filter pushed below them
-    return p8_statistics(spark, d).select("doc_id", F.explode(F.when(kind != "prose", F.array(kind)).otherwise(F.array().cast("array<string>"))).alias("kind"))
+    return p8_statistics(spark, d, rules).select("doc_id", F.explode(F.when(kind != "prose", F.array(kind)).otherwise(F.array().cast("array<string>"))).alias("kind"))
 
 
 _ITEMS = """with blocks as (
@@ -106,7 +114,7 @@ pairs as (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_pairs, p6_containers, p6_summary, p7_found, p7_report, p7_selection, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_pairs, p6_containers, p6_summary, p7_found, p7_report, p7_selection, p8_found, p8_rules, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,6 +19,10 @@ def test_statistics(spark):
     for s in (empty, null):
         assert s["n_chars"] == 0 and all(s[k] == 0 for k in quality.STATISTICS)
     assert one["kind"] == "k"
+    assert one["vowel_ratio"] == pytest.approx(13 / 25)
+    odd, digits, commas, capitals = stats(spark, "Ã£o Ã³timo", "٣٤ ab", "a, b, c", "ŁÓDŹ Δ")
+    assert odd["odd_ratio"] > 0.1 and digits["digit_ratio"] == 0.5 and commas["commas_per_word"] == pytest.approx(2 / 3) and capitals["capital_ratio"] == 1
+    assert stats(spark, "xkcdw aeiou normal")[0]["clusters_per_word"] == pytest.approx(2 / 3)
 
 
 def test_repetition_and_long_text(spark):
@@ -50,6 +54,22 @@ def test_no_labels_and_one_kind(spark):
     assert {r.kind for r in quality.kinds(docs, rules, "text").collect()} == {"prose"}
 
 
+def test_every_threshold_is_tried():
+    values = np.arange(5000, dtype=float)
+    rule = quality._grown({"n_words": values}, (values >= 1717) & (values < 1719), "list")
+    assert rule.covers({"n_words": values}).nonzero()[0].tolist() == [1717, 1718]
+
+
+def test_sample_of_labels_and_given_rules(spark):
+    docs = spark.createDataFrame([(i, "Uma frase que diz alguma coisa." if i % 2 else "- um\n- dois\n- três") for i in range(400)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "if(doc_id % 2 = 1, 'prose', 'list') as kind")
+    rules = quality.fit(docs, labels, "doc_id", "text", fit_rows=60)
+    judged = quality.kinds(docs, rules, "text")
+    assert judged.join(labels.withColumnRenamed("kind", "truth"), "doc_id").where("kind <> truth").count() == 0
+    read = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    assert quality.kinds(read, rules, "text")._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/doc_labels.parquet")
