@@ -57,12 +57,12 @@ def p6_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Documents weigh by characters per token: text of a language the vocabulary knows has several, noise few."""
-    documents = read_table(spark, d, "documents", "doc_id", "source", "text").select("doc_id", "source", F.length("text").alias("n_chars"), "text")
-    sized = tokens.token_counts(documents, "text")
-    dense = F.coalesce(F.try_divide(F.col("n_chars"), F.col("n_tokens") * 4), F.lit(0.0))
-    weighted = sized.select("doc_id", "source", "n_tokens", F.greatest(F.least(dense, F.lit(1.0)), F.lit(0.05)).alias("weight"))
-    return mixing.mix(materialise(weighted, "document_weights"), read_table(spark, d, "mix_targets"), "doc_id")
+    """Documents weigh by three statistics of problem 8 that hold in any language: the less they consist of symbols, of digits and of repeated pieces, the more. Texts without words weigh least."""
+    documents = read_table(spark, d, "documents", "doc_id", "source", "text").withColumn("body", F.col("text"))
+    judged = quality.statistics(documents, "body").select("doc_id", "source", "text", "n_words", "symbol_ratio", "digit_ratio", "repeated_share")
+    clean = (1 - F.col("symbol_ratio")) * (1 - F.col("digit_ratio")) * (1 - F.col("repeated_share"))
+    weighted = judged.select("doc_id", "source", "text", F.when(F.col("n_words") > 0, F.greatest(clean, F.lit(0.05))).otherwise(0.05).alias("weight"))
+    return mixing.mix(materialise(tokens.token_counts(weighted, "text"), "document_weights"), read_table(spark, d, "mix_targets"), "doc_id")
 
 
 def p7_selection(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +76,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Sources that cannot reach their target, from the report of the mixes."""
+    """Sources that fall short of their target in the selection that was made, though it takes all that it may."""
     return p7_report(spark, d).where("not reachable").select("mix_id", "source")
 
 
