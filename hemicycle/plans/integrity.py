@@ -47,18 +47,16 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_report(_vote_orphans(spark, d), _vote_references(spark, d))
 
 
-def _typed_votes(spark: SparkSession, d: str) -> DataFrame:
-    """Votes that count, with the acronym and legislature of their proposal."""
-    votes = read_table(spark, d, "votes", "Id", "VoteDate", "ProjectLawID", "VotingOrientation", "UserId").where(F.col("VoteDate") < F.lit(AS_OF).cast("timestamp_ntz"))
+def _vote_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Counts and last times of the votes that count, by user and type: orientation, acronym and legislature."""
+    stored = read_table(spark, d, "votes", "Id", "VoteDate", "ProjectLawID", "VotingOrientation", "UserId")
+    votes = stored.where(F.col("VoteDate") < F.lit(AS_OF).cast("timestamp_ntz"))
     counted = features.first_deliveries(votes, "Id", "VoteDate").where(F.col("VotingOrientation").between(0, 3) & F.col("UserId").isNotNull() & F.col("ProjectLawID").isNotNull())
     laws = read_table(spark, d, "proposals", "Id", "ProposingPartypartyAcronym", "Legislatura").groupBy("Id").agg(F.min("ProposingPartypartyAcronym").alias("acronym"), F.min("Legislatura").alias("legislature"))
-    return counted.join(laws.withColumnRenamed("Id", "ProjectLawID"), "ProjectLawID")
-
-
-def _vote_statistics(spark: SparkSession, d: str) -> DataFrame:
+    typed = features.join_hot(counted, laws.withColumnRenamed("Id", "ProjectLawID"), "ProjectLawID", features.heavy_keys(stored, "ProjectLawID"), "Id")
     kind = F.concat_ws(":", F.col("VotingOrientation").cast("string"), "acronym", "legislature")
-    stats = features.event_statistics(_typed_votes(spark, d), "UserId", kind, "VoteDate", "Id")
-    return stats.join(read_table(spark, d, "users", "Id").withColumnRenamed("Id", "entity").distinct(), "entity", "left_semi")
+    users = read_table(spark, d, "users", "Id").withColumnRenamed("Id", "entity")
+    return features.event_statistics(typed, "UserId", kind, "VoteDate", "Id", users, features.heavy_keys(stored, "UserId"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -74,6 +72,11 @@ def p3_features(spark: SparkSession, d: str) -> DataFrame:
     return features.feature_table(stats, read_table(spark, d, "users", "Id"), "Id", types, AS_OF).withColumnRenamed("entity", "user_id")
 
 
+def features_long(spark: SparkSession, d: str) -> DataFrame:
+    """The features of all users and event types as rows."""
+    return p3_features(spark, d).select("user_id", F.explode("features").alias("f")).select("user_id", "f.event_type", F.col("f.n_events").alias("n_votes"), "f.days_since_last", "f.share")
+
+
 def proposal_entities(spark: SparkSession, d: str) -> DataFrame:
     nodes = shred.shred(read_table(spark, d, "proposal_records"), "record_id", "payload", frozenset(x for x in PROPOSAL_ROLES if x))
     return shred.entity_tables(nodes, PROPOSAL_ROLES, PROPOSAL_SCALARS, {"proposingParty": "acronym"}, "proposal_entities")
@@ -90,4 +93,4 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_features, p5_found)}
+    return {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_features, features_long, p5_found)}

@@ -28,4 +28,8 @@ SQL = {
     "p1_found": f"{_ORPHANS} select Id as vote_id, ref_field, reason from found where reason is not null",
     "p1_report": f"{_ORPHANS} select table_name, strftime(VoteDate, '%Y-%m') as month, reason, count(*) as n_references, count(distinct key_value) as n_keys from found where reason is not null group by 1, 2, 3",
     "p3_found": _FEATURES,
+    "features_long": f"""with stats as ({_FEATURES}), totals as (select user_id, sum(n_votes) as total from stats group by 1),
+kinds as (select distinct concat(o, ':', ProposingPartypartyAcronym, ':', Legislatura) as event_type from proposals, range(4) t(o))
+select p.Id as user_id, k.event_type, coalesce(n_votes, 0)::bigint as n_votes, days_since_last, coalesce(n_votes / total::double, 0.0) as share
+from (select distinct Id from users) p cross join kinds k left join stats s on s.user_id = p.Id and s.event_type = k.event_type left join totals t on t.user_id = p.Id""",
 }
