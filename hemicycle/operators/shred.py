@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,71 +27,147 @@ MAP_KEY = "@key"
 BATCH_ROWS = 50_000
 
 
+@lru_cache(65_536)
 def plain_label(name: str) -> str:
     """Letters and digits in lower case: the same for camelCase, PascalCase and snake_case."""
     return re.sub(r"[\W_]+", "", name.lower())
 
 
+_TOKEN = re.compile(r'[ \t\r\n]*(?:([\[\]{},:])|("(?:[^"\\]|\\.)*")|([^\s\[\]{},:"]+))', re.DOTALL)
+
+
+def _parsed_deep(text: str):
+    """What ``json.loads`` gives, for texts that are nested more deeply than it can follow; the open arrays and objects are a list."""
+    root, at, end = [], 0, len(text.rstrip(" \t\r\n"))
+    open_now: list = [root]
+    keys: list = [None]
+    state = "value"  # then: first (a value or the end), comma (or the end), key, first key (or the end), colon
+    while at < end:
+        token = _TOKEN.match(text, at)
+        if token is None:
+            raise ValueError("not JSON")
+        at = token.end()
+        mark, quoted, plain = token.groups()
+        if mark in ("]", "}"):
+            if len(open_now) == 1 or isinstance(open_now[-1], list) != (mark == "]") or state not in ("first", "first key", "comma"):
+                raise ValueError("not JSON")
+            open_now.pop(), keys.pop()
+            state = "comma"
+        elif mark == "," and state == "comma" and len(open_now) > 1:
+            state = "value" if isinstance(open_now[-1], list) else "key"
+        elif mark == ":" and state == "colon":
+            state = "value"
+        elif state in ("key", "first key") and quoted:
+            keys[-1] = json.loads(quoted)
+            state = "colon"
+        elif state in ("value", "first") and mark not in (",", ":"):
+            value = ([] if mark == "[" else {}) if mark else json.loads(quoted or plain)
+            if isinstance(open_now[-1], list):
+                open_now[-1].append(value)
+            else:
+                open_now[-1][keys[-1]] = value
+            state = "comma"
+            if mark:
+                open_now.append(value), keys.append(None)
+                state = "first" if mark == "[" else "first key"
+        else:
+            raise ValueError("not JSON")
+    if len(open_now) > 1 or len(root) != 1:
+        raise ValueError("not JSON")
+    return root[0]
+
+
 def _parsed(text: str):
-    """The value of a JSON text; None for what breaks off."""
+    """The value of a JSON text, however deep; None for what breaks off."""
+    text = text.lstrip("\ufeff \t\r\n")
     try:
-        return json.loads(text.lstrip("﻿ \t\r\n"))
-    except (ValueError, RecursionError):
+        return json.loads(text)
+    except RecursionError:
+        pass
+    except ValueError:
         return None
+    try:
+        return _parsed_deep(text)
+    except ValueError:
+        return None
+
 
+def _written(value) -> str | None:
+    if isinstance(value, str):
+        return value
+    if value is None or isinstance(value, bool):
+        return None if value is None else "true" if value else "false"
+    if isinstance(value, float):
+        return str(int(value)) if value.is_integer() and abs(value) < 2**63 else repr(value)
+    return str(value)
 
-def _walk(value, containers: frozenset[str]) -> Iterator[tuple]:
-    """(node, parent, label, ordinal, is_object, scalar) in document order.
+
+def _walk(value, containers: frozenset[str], wanted: frozenset[str] | None = None) -> list[tuple]:
+    """(node, parent, label, ordinal, is_object, scalar) of all objects and of the scalars under ``wanted`` labels (None: all).
 
     Arrays, JSON within strings, ``{"$values": [...]}`` and maps from keys to objects under a label
-    of ``containers`` are wrappers: their members stand directly below the enclosing object.
+    of ``containers`` are wrappers: their members stand directly below the enclosing object. Numbers
+    of nodes do not depend on ``wanted``.
     """
     count = 0
+    rows: list[tuple] = []
     stack = [(value, 0, "", 0, None)]
     while stack:
         value, parent, label, ordinal, key = stack.pop()
-        if isinstance(value, str) and value.lstrip("﻿ \t\r\n")[:1] in ("{", "[") and label in containers:
-            value = _parsed(value)
-        if isinstance(value, str) and not label:
+        if isinstance(value, str) and (not label or label in containers and value.lstrip("\ufeff \t\r\n")[:1] in ("{", "[")):
             value = _parsed(value)
         if isinstance(value, list):
-            stack.extend((x, parent, label, i, None) for i, x in reversed(list(enumerate(value))))
+            stack.extend((x, parent, label, i, None) for i, x in zip(range(len(value) - 1, -1, -1), reversed(value), strict=True))
+            continue
+        count += 1
+        if not isinstance(value, dict):
+            if wanted is None or label in wanted:
+                rows.append((count, parent, label, ordinal, False, _written(value)))
             continue
-        if isinstance(value, dict) and "$values" in value:
+        if "$values" in value:
+            count -= 1
             stack.append((value["$values"], parent, label, ordinal, None))
             continue
-        if isinstance(value, dict) and value and label in containers and all(re.fullmatch(r"\d+", k) and isinstance(x, dict) for k, x in value.items()):
+        if value and label in containers and all(isinstance(x, dict) and k.isascii() and k.isdigit() for k, x in value.items()):
+            count -= 1
             stack.extend((x, parent, label, i, k) for i, (k, x) in reversed(list(enumerate(value.items()))))
             continue
-        count += 1
-        if isinstance(value, dict):
-            node = count
-            yield node, parent, label, ordinal, True, None
-            if key is not None:
+        node = count
+        rows.append((node, parent, label, ordinal, True, None))
+        if key is not None:
+            count += 1
+            rows.append((count, node, MAP_KEY, 0, False, key))
+        nested = []
+        for name, x in value.items():
+            named = plain_label(name)
+            if isinstance(x, dict | list) or named in containers and isinstance(x, str):
+                nested.append((x, node, named, 0, None))
+            else:
                 count += 1
-                yield count, node, MAP_KEY, 0, False, key
-            stack.extend((x, node, plain_label(k), 0, None) for k, x in reversed(value.items()))
-        elif isinstance(value, bool):
-            yield count, parent, label, ordinal, False, "true" if value else "false"
-        elif isinstance(value, float):
-            yield count, parent, label, ordinal, False, str(int(value)) if value.is_integer() and abs(value) < 2**63 else repr(value)
-        else:
-            yield count, parent, label, ordinal, False, None if value is None else str(value)
+                if wanted is None or named in wanted:
+                    rows.append((count, node, named, 0, False, _written(x)))
+        stack.extend(reversed(nested))
+    return rows
 
 
-def shred(records: DataFrame, record_id: str, payload: str, containers: frozenset[str]) -> DataFrame:
-    """The adjacency rows of all payloads, columns as in NODES.
+def shred(records: DataFrame, record_id: str, payload: str, containers: frozenset[str], wanted: Iterable[str] | None = None) -> DataFrame:
+    """The adjacency rows of all payloads, columns as in NODES: all objects, and the scalars under the plain labels ``wanted`` (None: all).
 
     A document is a record_id (-1 for null) with the hash of a payload; deliveries that are equal in
-    both are one document. A payload that is null, empty, not JSON or broken off yields no row. ``containers`` are the plain
-    labels whose strings and maps are read as nested objects. A null scalar is a row with null.
+    both are one document. A payload that is null, empty, not JSON or broken off yields no row, one
+    that is nested however deep yields all of its rows. ``containers`` are the plain labels whose
+    strings and maps are read as nested objects. A null scalar is a row with null.
     """
+    kept = None if wanted is None else frozenset(wanted)
 
-    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
+    def as_batch(rows: list[tuple], documents: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        document, source, n = (np.array(c, np.int64) for c in zip(*documents, strict=True))
+        columns = [np.repeat(document, n), np.repeat(source, n), *zip(*rows, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW.types, strict=True)], schema=_ARROW)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        documents: list[tuple[int, int, int]] = []
         for batch in batches:
             for document, source, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 value = None if text is None else _parsed(text)
@@ -97,13 +175,16 @@ def shred(records: DataFrame, record_id: str, payload: str, containers: frozense
                     value = _parsed(value)
                 if not isinstance(value, dict | list):
                     continue
-                for node in _walk(value, containers):
-                    rows.append((document, source, *node))
+                own = _walk(value, containers, kept)
+                for s in range(0, len(own), BATCH_ROWS):
+                    part = own[s : s + BATCH_ROWS]
+                    rows += part
+                    documents.append((document, source, len(part)))
                     if len(rows) >= BATCH_ROWS:
-                        yield as_batch(rows)
-                        rows.clear()
+                        yield as_batch(rows, documents)
+                        rows, documents = [], []
         if rows:
-            yield as_batch(rows)
+            yield as_batch(rows, documents)
 
     documents = records.select(F.xxhash64(record_id, payload).alias("document"), F.coalesce(F.col(record_id).cast("bigint"), F.lit(-1)).alias("source"), F.col(payload).alias("payload"))
     return documents.mapInArrow(parse, NODES)

@@ -77,20 +77,33 @@ def features_long(spark: SparkSession, d: str) -> DataFrame:
     return p3_features(spark, d).select("user_id", F.explode("features").alias("f")).select("user_id", "f.event_type", F.col("f.n_events").alias("n_votes"), "f.days_since_last", "f.share")
 
 
-def proposal_entities(spark: SparkSession, d: str) -> DataFrame:
-    nodes = shred.shred(read_table(spark, d, "proposal_records"), "record_id", "payload", frozenset(x for x in PROPOSAL_ROLES if x))
-    return shred.entity_tables(nodes, PROPOSAL_ROLES, PROPOSAL_SCALARS, {"proposingParty": "acronym"}, "proposal_entities")
+#: The scalars that a key may be made of.
+KEY_SCALARS = ("id", "map_key", "acronym")
 
 
-def session_entities(spark: SparkSession, d: str) -> DataFrame:
-    nodes = shred.shred(read_table(spark, d, "session_records"), "record_id", "payload", frozenset(x for x in SESSION_ROLES if x))
-    return shred.entity_tables(nodes, SESSION_ROLES, SESSION_SCALARS, {"politicalParty": "acronym"}, "session_entities")
+def _entities(spark: SparkSession, d: str, name: str, roles: dict[str, str], scalars: dict[str, str], key_of: dict[str, str]) -> DataFrame:
+    records = read_table(spark, d, f"{name}_records", "record_id", "payload")
+    nodes = shred.shred(records, "record_id", "payload", frozenset(x for x in roles if x), {*roles, *scalars.values()})
+    return shred.entity_tables(nodes, roles, scalars, key_of, f"{name}_entities")
+
+
+def p5_proposals(spark: SparkSession, d: str) -> DataFrame:
+    """Proposals, parties, voting results and blocks of the received records, one row each, with their scalars and their parent's node."""
+    return _entities(spark, d, "proposal", PROPOSAL_ROLES, PROPOSAL_SCALARS, {"proposingParty": "acronym"})
+
+
+def p5_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Users, votes, party statistics and parties of the received records, one row each, with their scalars and their parent's node."""
+    return _entities(spark, d, "session", SESSION_ROLES, SESSION_SCALARS, {"politicalParty": "acronym"})
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Links between children and parents in the payloads of both record tables."""
-    return shred.links(proposal_entities(spark, d), PROPOSAL_LINKS).unionByName(shred.links(session_entities(spark, d), SESSION_LINKS))
+    """Links between children and parents in the payloads of both record tables; of the scalars only those of keys are shredded."""
+    keys = lambda scalars: {k: scalars[k] for k in KEY_SCALARS}
+    proposals = _entities(spark, d, "proposal", PROPOSAL_ROLES, keys(PROPOSAL_SCALARS), {"proposingParty": "acronym"})
+    sessions = _entities(spark, d, "session", SESSION_ROLES, keys(SESSION_SCALARS), {"politicalParty": "acronym"})
+    return shred.links(proposals, PROPOSAL_LINKS).unionByName(shred.links(sessions, SESSION_LINKS))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_features, features_long, p5_found)}
+    return {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_features, features_long, p5_found, p5_proposals, p5_sessions)}

@@ -47,6 +47,35 @@ def test_what_is_broken_null_or_without_key(spark):
     assert found(spark, []) == set()
 
 
+def test_depth_has_no_limit(spark):
+    deep = lambda inner, n: '{"x": [' * n + inner + "]}" * n
+    block = json.dumps(proposal([BLOCK]))
+    for n in (10, 20_000, 60_000):
+        assert found(spark, [deep(json.dumps({"data": proposal([BLOCK])}), n)]) == SIMPLE
+        assert found(spark, ['{"y": ' + "[" * n + "]" * n + ", " + block[1:]]) == SIMPLE
+        assert found(spark, [deep(block, n)[:-1], deep(block, n) + "}", "[" * n]) == set()
+
+
+def test_deep_parser_agrees():
+    good = ['{"a": [1, 2.5, -3e2, true, false, null, "x\\"y\\u00e9"], "b": {}, "c": [], "d": [[], [{}]]}', " 3 ", '"s"', "[]", '{"a": {"a": 1}, "a": 2}', '["\\n{[,:]}"]']
+    for text in good:
+        assert shred._parsed_deep(text) == json.loads(text)
+    for text in ["", "[", "]", "[1,]", "[,1]", "{,}", '{"a"}', '{"a":}', '{"a" 1}', "[1 2]", "{1: 2}", '["a]', "[1]]", "1 2", "nul", '{"a": 1,}', "[}", '"a', "[1}", ":", '{"a": 1 "b": 2}']:
+        for parse in (shred._parsed_deep, json.loads):
+            try:
+                parse(text)
+            except ValueError:
+                continue
+            raise AssertionError(text)
+
+
+def test_only_wanted_scalars(spark):
+    rows = spark.createDataFrame([(1, json.dumps(proposal([BLOCK])))], "record_id long, payload string")
+    every = {tuple(r) for r in shred.shred(rows, "record_id", "payload", frozenset({"votingblocks"})).collect()}
+    some = {tuple(r) for r in shred.shred(rows, "record_id", "payload", frozenset({"votingblocks"}), ["id"]).collect()}
+    assert some == {r for r in every if r[6] or r[4] == "id"} and len(some) < len(every)
+
+
 def test_sessions(spark):
     user = {"id": 3, "votes": [{"id": 11, "userID": None}, {"id": None}], "partyStats": {"21": {"politicalParty": {"partyAcronym": "ÁGU"}}, "22": {"politicalParty": "KAI"}, "23": {"politicalParty": None}}}
     links = found(spark, [json.dumps({"users": [user]})], SESSION_ROLES, SESSION_SCALARS, SESSION_LINKS, {"politicalParty": "acronym"})
