@@ -53,3 +53,8 @@ def enum_code(name: Column, names: Mapping[int, str], strict: bool = False) -> C
     """The code of a name; null for null. An unknown name is null, or an error with ``strict``."""
     code = F.create_map(*[F.lit(x) for k, v in names.items() for x in (v, k)])[name]
     return F.when(code.isNull() & name.isNotNull(), F.raise_error(F.concat(F.lit("unknown name: "), name)).cast("int")).otherwise(code) if strict else code
+
+
+def outcome_of_status(status: Column) -> Column:
+    """What a client makes of the status of a sign-up."""
+    return F.when(status == 200, "created").when(status == 401, "EmailHasAccount").when(status == 402, "UsernameAlreadyExists").otherwise("failed")

@@ -20,10 +20,10 @@ def appended(rows: DataFrame, new: DataFrame) -> DataFrame:
     return rows.unionByName(new, allowMissingColumns=True)
 
 
-def with_new_ids(new: DataFrame, rows: DataFrame, key: str, order: str) -> DataFrame:
-    """``new`` with ``key`` numbered on from the largest of ``rows`` in the order of a column; meant for a request's few rows."""
+def with_new_ids(new: DataFrame, rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """``new`` with ``key`` numbered on from the largest of ``rows`` in the order of columns; meant for a request's few rows."""
     last = rows.agg(F.coalesce(F.max(key), F.lit(0)).alias("last")).scalar()
-    return new.withColumn(key, (F.row_number().over(Window.orderBy(order)) + last).cast(rows.schema[key].dataType))
+    return new.withColumn(key, (F.row_number().over(Window.orderBy(*order)) + last).cast(rows.schema[key].dataType))
 
 
 def accepted(new: DataFrame, rows: DataFrame, *unique: str) -> DataFrame:
@@ -64,6 +64,14 @@ def emptied(rows: DataFrame) -> DataFrame:
     return rows.where(F.lit(False))
 
 
-def migrated(rows: DataFrame, renamed: Mapping[str, str], added: Mapping[str, Column], dropped: Sequence[str] = ()) -> DataFrame:
-    """The table in a new shape: columns dropped, then renamed, then added."""
-    return rows.drop(*dropped).withColumnsRenamed(dict(renamed)).withColumns(dict(added))
+def migrated(rows: DataFrame, renamed: Mapping[str, str], added: Mapping[str, Column], dropped: Sequence[str] = (), retyped: Mapping[str, str] | None = None) -> DataFrame:
+    """The table in a new shape: columns dropped, then cast to new types, then renamed, then added. A value that the new type cannot hold is an error in ANSI mode, else null."""
+    cast = {c: F.col(c).cast(t) for c, t in (retyped or {}).items()}
+    return rows.drop(*dropped).withColumns(cast).withColumnsRenamed(dict(renamed)).withColumns(dict(added))
+
+
+def reseeded(rows: DataFrame, key: str, inserted: DataFrame | None = None, patch: DataFrame | None = None, removed: Sequence = ()) -> DataFrame:
+    """The rows after a change of seed data: keys removed, values of the patch set, rows inserted whose key is not there."""
+    out = deleted(rows, key, *removed) if removed else rows
+    out = patched(out, patch, key) if patch is not None else out
+    return appended(out, accepted(inserted, out, key)) if inserted is not None else out

@@ -35,3 +35,16 @@ def weighted_pick_unbiased(rows: DataFrame, key: str, weight: str, seed: int) ->
     """One row with probability in proportion to its weight: the least exponential key. Rows without weight are never picked."""
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     return rows.where(F.col(weight) > 0).orderBy(-F.log(u) / F.col(weight), key).limit(1)
+
+
+def last_row(rows: DataFrame, key: str) -> DataFrame:
+    """The row of the largest ``key``; no row for an empty table."""
+    return rows.where(F.col(key).isNotNull()).orderBy(F.col(key).desc()).limit(1)
+
+
+def single_or_default(rows: DataFrame) -> DataFrame:
+    """The only row, or one row of nulls if there is none; several rows are an error when it is read."""
+    whole = F.struct(*rows.columns)
+    found = rows.limit(2).agg(F.count("*").alias("n"), F.min(whole).alias("row"))
+    checked = F.when(F.col("n") > 1, F.raise_error(F.lit("more than one row")).cast(rows.select(whole.alias("row")).schema["row"].dataType)).otherwise(F.col("row"))
+    return found.select(checked.alias("row")).select("row.*")

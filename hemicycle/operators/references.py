@@ -1,6 +1,7 @@
 """References to records that do not exist, by bitmaps.
 
-Keys are integers. The keys that a field names in one period are kept as bitmaps of 64 keys each:
+Keys of integer types are their own dictionary; others are numbered by one (``dictionary``), which
+holds every key that a field, a parent or the log names. The keys that a field names in one period are kept as bitmaps of 64 keys each:
 one row per field, period and key range (``key >> 6``) with the bits of the keys seen. Ranges
 without a bit have no row, which compresses sparse key spaces. The parents have one bitmap row per
 range, too: bits of the keys that exist, bits of the keys that were removed, and the times of
@@ -12,9 +13,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from hemicycle.operators.features import heavy_keys, join_hot
+from hemicycle.session import materialise
+
+#: Buckets within which the dictionary numbers keys.
+BUCKETS = 4096
 #: Keys of one bitmap: the bits of a bigint.
 RANGE_BITS = 6
 #: Period of records without time.
@@ -49,9 +56,16 @@ def _bit(position: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), position)
 
 
-def _references(records: DataFrame, references: list[Reference], record_id: str, time: str) -> DataFrame:
+def dictionary(keys: DataFrame) -> DataFrame:
+    """key, code: the distinct texts of the column ``key`` with integers that no two share, numbered within buckets of a hash, so that no task sees all keys."""
+    bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS).cast("bigint"))
+    nth = F.row_number().over(Window.partitionBy("_bucket").orderBy("key")).cast("bigint")
+    return keys.where("key is not null").distinct().withColumn("_bucket", bucket).select("key", ((nth - 1) * BUCKETS + F.col("_bucket")).alias("code"))
+
+
+def _references(records: DataFrame, references: list[Reference], record_id: str, time: str, key_type: str) -> DataFrame:
     """One row per record and non-null reference: record, at, ref_field, period, key."""
-    named = F.array(*[F.struct(F.lit(r.field).alias("ref_field"), F.col(r.field).cast("bigint").alias("key")) for r in references])
+    named = F.array(*[F.struct(F.lit(r.field).alias("ref_field"), F.col(r.field).cast(key_type).alias("key")) for r in references])
     return (
         records.select(F.col(record_id).alias("record"), F.col(time).alias("at"), F.explode(named).alias("named"))
         .select("record", "at", "named.ref_field", month_number(F.col("at")).alias("period"), "named.key")
@@ -59,26 +73,27 @@ def _references(records: DataFrame, references: list[Reference], record_id: str,
     )
 
 
-def _parents(references: list[Reference], log: DataFrame) -> DataFrame:
-    """One row per field and key range with what is known of its parents."""
+def _facts(references: list[Reference], log: DataFrame, key_type: str) -> DataFrame:
+    """What tables and log say of parents: ref_field, key, present, removed, created."""
     facts = None
     for r in references:
         label = F.lit(r.field).alias("ref_field")
-        there = r.parent.select(label, F.col(r.parent_key).cast("bigint").alias("key"), F.lit(1).alias("present"), F.lit(0).alias("removed"), F.lit(None).cast("timestamp_ntz").alias("created"))
+        there = r.parent.select(label, F.col(r.parent_key).cast(key_type).alias("key"), F.lit(1).alias("present"), F.lit(0).alias("removed"), F.lit(None).cast("timestamp_ntz").alias("created"))
         told = log.where((F.col("entity") == r.entity) & F.col("operation").isin("created", "removed")).select(
             label,
-            F.col("entity_id").cast("bigint").alias("key"),
+            F.col("entity_id").cast(key_type).alias("key"),
             F.lit(0).alias("present"),
             (F.col("operation") == "removed").cast("int").alias("removed"),
             F.when(F.col("operation") == "created", F.col("logged_at").cast("timestamp_ntz")).alias("created"),
         )
         both = there.unionAll(told)
         facts = both if facts is None else facts.unionAll(both)
-    keys = (
-        facts.where(F.col("key").isNotNull())
-        .groupBy("ref_field", "key")
-        .agg(F.max("present").alias("present"), F.max("removed").alias("removed"), F.min("created").alias("created"))
-    )
+    return facts.where(F.col("key").isNotNull())
+
+
+def _parents(facts: DataFrame) -> DataFrame:
+    """One row per field and key range with what is known of its parents."""
+    keys = facts.groupBy("ref_field", "key").agg(F.max("present").alias("present"), F.max("removed").alias("removed"), F.min("created").alias("created"))
     bit = _bit(_position(F.col("key")))
     none = F.lit(0).cast("bigint")
     return (
@@ -101,15 +116,14 @@ def _decoded(bits: Column, key_range: Column) -> Column:
     return F.transform(F.filter(positions, is_set), lambda i: base + i)
 
 
-def suspects(records: DataFrame, references: list[Reference], log: DataFrame, record_id: str, time: str) -> DataFrame:
+def suspects(named: DataFrame, parents: DataFrame) -> DataFrame:
     """Keys per field and period that survive ``reference AND NOT parent``: ref_field, period, key, reason, created.
 
     ``late`` keys exist, but were created in the period of the reference or after it; whether a
     single reference was too early is left to the comparison of times.
     """
-    named = _references(records, references, record_id, time)
     refs = named.groupBy("ref_field", "period", _range(F.col("key")).alias("range")).agg(F.bit_or(_bit(_position(F.col("key")))).alias("bits"))
-    joined = refs.join(_parents(references, log), (F.col("ref_field") == F.col("parent_field")) & (F.col("range") == F.col("parent_range")), "left")
+    joined = refs.join(parents, (F.col("ref_field") == F.col("parent_field")) & (F.col("range") == F.col("parent_range")), "left")
     bits, none = F.col("bits"), F.lit(0).cast("bigint")
     orphan = bits.bitwiseAND(F.bitwise_not(F.coalesce(F.col("there"), none)))
     gone = F.coalesce(F.col("gone"), none)
@@ -134,17 +148,27 @@ def orphan_references(records: DataFrame, references: list[Reference], log: Data
     ``record_id`` count as one record. Null references are none; a record without time is never
     late; a parent without ``created`` entry is never late; empty inputs give no row. ``log`` has
     entity, entity_id, operation, logged_at; other operations and other columns are ignored.
-    ``salts`` spreads the records of one hot key over so many tasks.
+    ``salts`` spreads the records of one hot key over so many tasks. Where a field, a parent's key or
+    the log's entity_id is not of an integer type, all keys are compared as texts, numbered by a dictionary.
     """
-    keys = suspects(records, references, log, record_id, time).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    named = _references(records, references, record_id, time).withColumn("salt", F.pmod(F.hash("record", "at"), F.lit(salts)))
-    hit = named.join(keys, ["ref_field", "period", "key", "salt"])
-    return (
+    types = [*(records.schema[r.field] for r in references), *(r.parent.schema[r.parent_key] for r in references), log.schema["entity_id"]]
+    integers = all(isinstance(t.dataType, IntegralType) for t in types)
+    key_type = "bigint" if integers else "string"
+    named, facts = _references(records, references, record_id, time, key_type), _facts(references, log, key_type)
+    if not integers:
+        codes = materialise(dictionary(named.select("key").unionByName(facts.select("key"))), "key_dictionary")
+        coded = lambda rows, hot, spread: join_hot(rows, codes, "key", hot, spread).drop("key").withColumnRenamed("code", "key")
+        named, facts = coded(named, heavy_keys(named, "key"), "record"), coded(facts, [], "ref_field")
+    keys = suspects(named, _parents(facts)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hit = named.withColumn("salt", F.pmod(F.hash("record", "at"), F.lit(salts))).join(keys, ["ref_field", "period", "key", "salt"])
+    found = (
         hit.groupBy("record", "ref_field", "key")
         .agg(F.min("at").alias("at"), F.min("reason").alias("reason"), F.min("created").alias("created"))
         .where((F.col("reason") != "late") | (F.col("created") > F.col("at")))
-        .select(F.col("record").alias("record_id"), "ref_field", "key", "reason", "at")
     )
+    if not integers:
+        found = found.withColumnRenamed("key", "code").join(codes, "code")
+    return found.select(F.col("record").alias("record_id"), "ref_field", "key", "reason", "at")
 
 
 def orphan_report(orphans: DataFrame, references: list[Reference]) -> DataFrame:

@@ -39,6 +39,17 @@ def clamped_fold(steps: DataFrame, group: list[str], order: list[str], value: st
     return lowest.groupBy(*group).agg(F.sum("_n").alias("n_steps"), (F.sum("_sum") - F.least(F.lit(0), F.min("_low"))).alias("total"))
 
 
+def stretch(steps: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
+    """group, n, sum, least: number and sum of the values of each group, and the least of its prefix sums in the order; what a clamped fold of the group does to any total before it (see ``after``)."""
+    prefix = F.sum(value).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return steps.withColumn("_prefix", prefix).groupBy(*group).agg(F.count("*").alias("n"), F.sum(value).alias("sum"), F.min("_prefix").alias("least"))
+
+
+def after(total: Column, added: Column, least: Column) -> Column:
+    """The total after a stretch with the sum ``added`` and the least prefix sum ``least``."""
+    return F.greatest(total + added, added - least)
+
+
 def folded_in_array(steps: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
     """The same as ``clamped_fold`` as an aggregate over each group's sorted array, for groups of moderate size."""
     taken = F.struct(*order, F.coalesce(F.col(value), F.lit(0)).cast("bigint").alias("_value"))

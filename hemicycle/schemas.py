@@ -30,4 +30,9 @@ TABLES = {"parties": PARTIES, "proposals": PROPOSALS, "voting_results": VOTING_R
 
 CRITERIA = _struct(userID=(_I,), legislatura=ArrayType(_S), oldestVoteDate=_S, newestVoteDate=_S, lowestScoreAllowed=(_I,))
 VOTE_REQUEST = _struct(userID=(_I,), projectLawID=(_I,), votingOrientation=(_S,))
-PROPOSAL_REQUEST = StructType([StructField(f.name, f.dataType, True) for f in PROPOSALS if f.name not in ("Id", "amountOfUsersInterested", "totalAmountOfVotesFromUsers")])
+_BLOCK_REQUEST = _struct(isUninamousWithinParty=_B, numberOfDeputies=_I, politicalPartyAcronym=_S, votingOrientation=_S)
+_RESULT_REQUEST = _struct(isUninamous=_B, votingBlocks=ArrayType(_BLOCK_REQUEST))
+PROPOSAL_REQUEST = _struct(
+    legislatura=_S, sourceId=_I, score=_I, voteDate=_S, proposingPartyAcronym=_S, proposalTitle=_S, fullProposalTextLink=_S, proposalTextHTML=_S, proposalResult=_S,
+    votingResultGenerality=_RESULT_REQUEST, votingResultSpeciality=_RESULT_REQUEST,
+)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,23 +43,64 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder if it is there."""
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
+
+
+def numbered(spark: SparkSession, path: str) -> list[int]:
+    """The folders in a folder whose names are numbers and that were written to the end, in order; none if it is not there."""
+    files, target = _file_system(spark, path)
+    if not files.exists(target):
+        return []
+    return sorted(int(x.getPath().getName()) for x in files.listStatus(target) if x.getPath().getName().isdigit() and _is_whole(spark, x.getPath().toString()))
+
+
+def _is_whole(spark: SparkSession, path: str) -> bool:
+    files, target = _file_system(spark, f"{path}/_SUCCESS")
+    return files.exists(target)
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _remove_since(first: int) -> None:
+    while len(_written) > first:
+        spark, path = _written.pop()
+        try:
+            removed(spark, path)
+        except Exception:  # the session has ended; the folder is left to its owner
+            pass
+
+
+atexit.register(_remove_since, 0)
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Removes at its end the tables that were materialised in it; results that read them must have been written by then."""
+    first = len(_written)
     try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session has ended; the folder is left to its owner
-        pass
+        yield
+    finally:
+        _remove_since(first)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage, so that an expensive input is computed once though several branches of a plan
-    use it, and survives the loss of executors. The table is removed when the driver ends.
+    use it, and survives the loss of executors. The table is removed at the end of the ``released``
+    block around it, else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/materialised/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)

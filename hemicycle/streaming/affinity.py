@@ -2,8 +2,9 @@
 
 The counters are a streaming aggregation. The clamped fold of affinity is kept as state per user and
 party: the steps of a micro-batch fold to a sum and a floor, natively, and compose with the state
-(see ``hemicycle.operators.scoring``). A state table is written per batch, so a batch that is run
-again replaces its own result only.
+(see ``hemicycle.operators.scoring``). A batch writes the rows that it changes under its number, so
+one that is run again replaces its own rows only; every so many batches the rows are merged to a
+table of all. A query that is started again on the same folder goes on where the last one ended.
 """
 
 from __future__ import annotations
@@ -11,13 +12,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hemicycle.operators import scoring
 from hemicycle.schemas import VOTES
-from hemicycle.session import scratch_dir
+from hemicycle.session import numbered, removed, scratch_dir
 
 _STATE = "UserId int, party string, n_steps bigint, total bigint"
+#: Batches after which their rows are merged.
+MERGE_EVERY = 16
 
 
 def vote_stream(spark: SparkSession, folder: str, glob: str = "votes.parquet", files_per_batch: int = 1) -> DataFrame:
@@ -25,55 +29,77 @@ def vote_stream(spark: SparkSession, folder: str, glob: str = "votes.parquet", f
     return spark.readStream.schema(VOTES).option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def streaming_counters(votes: DataFrame, delay: str | None = None) -> DataFrame:
-    """proposal_id, n_votes, n_interested, each vote counted at its first delivery; with ``delay`` a delivery later than it may count again, and old state is dropped."""
+def first_arrivals(votes: DataFrame, delay: str | None = None) -> DataFrame:
+    """Each vote at its first delivery; with ``delay`` a delivery later than it may count again, and what is known of older votes is dropped, else it is kept for ever."""
     once = votes.withColumn("at", F.col("VoteDate").cast("timestamp"))
-    once = once.withWatermark("at", delay).dropDuplicatesWithinWatermark(["Id"]) if delay else once.dropDuplicates(["Id"])
-    return once.groupBy(F.col("ProjectLawID").alias("proposal_id")).agg(F.count("*").alias("n_votes"), F.count_if(F.col("VotingOrientation") != 3).alias("n_interested"))
+    return (once.withWatermark("at", delay).dropDuplicatesWithinWatermark(["Id"]) if delay else once.dropDuplicates(["Id"])).drop("at")
+
+
+def streaming_counters(votes: DataFrame, delay: str | None = None) -> DataFrame:
+    """proposal_id, n_votes, n_interested of the first arrivals."""
+    return first_arrivals(votes, delay).groupBy(F.col("ProjectLawID").alias("proposal_id")).agg(F.count("*").alias("n_votes"), F.count_if(F.col("VotingOrientation") != 3).alias("n_interested"))
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a streaming aggregation over what is there now, and return its result."""
+def _folder(spark: SparkSession, name: str, folder: str | None) -> str:
+    return folder.rstrip("/") if folder else f"{scratch_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+
+
+def run_available(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Run a streaming aggregation over what is there now, and return its result. With ``folder`` the next run goes on from this one."""
     spark = stream.sparkSession
-    folder = f"{scratch_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    folder = _folder(spark, name, folder)
 
     def keep(batch: DataFrame, number: int) -> None:
+        older = [n for n in numbered(spark, f"{folder}/result") if n < number]
         batch.write.mode("overwrite").parquet(f"{folder}/result/{number}")
-        numbers.append(number)
+        for n in older:
+            removed(spark, f"{folder}/result/{n}")
+
+    stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    there = numbered(spark, f"{folder}/result")
+    return spark.read.parquet(f"{folder}/result/{there[-1]}") if there else spark.createDataFrame([], stream.schema)
+
 
-    numbers: list[int] = []
-    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{folder}/result/{max(numbers)}") if numbers else spark.createDataFrame([], stream.schema)
+def stored_state(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """UserId, party, n_steps, total after all batches in a folder, or those with numbers below ``before``: per user and party the row with the most steps."""
+    known = lambda kind: [n for n in numbered(spark, f"{folder}/{kind}") if before is None or n < before]
+    merged = known("merged")[-1:]
+    paths = [f"{folder}/merged/{n}" for n in merged] + [f"{folder}/changes/{n}" for n in known("changes") if not merged or n > merged[0]]
+    if not paths:
+        return spark.createDataFrame([], _STATE)
+    return spark.read.schema(_STATE).parquet(*paths).groupBy("UserId", "party").agg(F.max("n_steps").alias("n_steps"), F.max_by("total", "n_steps").alias("total"))
 
 
 def fold_batch(state: DataFrame, steps: DataFrame) -> DataFrame:
-    """The state after the steps (UserId, party, vote_id, block_id, tenths) of one batch."""
-    order = Window.partitionBy("UserId", "party").orderBy("vote_id", "block_id").rowsBetween(Window.unboundedPreceding, 0)
-    folded = steps.withColumn("_prefix", F.sum("tenths").over(order)).groupBy("UserId", "party").agg(F.count("*").alias("_n"), F.sum("tenths").alias("_sum"), F.min("_prefix").alias("_least"))
-    both = state.join(folded, ["UserId", "party"], "full")
-    n, total, added = F.coalesce("n_steps", F.lit(0)), F.coalesce("total", F.lit(0)), F.coalesce("_sum", F.lit(0))
-    after = F.greatest(total + added, F.coalesce(F.col("_sum") - F.col("_least"), F.lit(0).cast("bigint")))
-    return both.select("UserId", "party", (n + F.coalesce("_n", F.lit(0))).alias("n_steps"), F.when(F.col("_sum").isNull(), total).otherwise(after).alias("total"))
+    """The rows of the state that the steps (UserId, party, vote_id, block_id, tenths) of one batch change."""
+    folded = scoring.stretch(steps, ["UserId", "party"], ["vote_id", "block_id"], "tenths")
+    both = folded.join(state, ["UserId", "party"], "left")
+    none = F.lit(0).cast("bigint")
+    total = scoring.after(F.coalesce("total", none), F.col("sum"), F.col("least"))
+    return both.select("UserId", "party", (F.coalesce("n_steps", none) + F.col("n")).alias("n_steps"), total.alias("total"))
 
 
-def streaming_affinity(votes: DataFrame, steps_of: Callable[[DataFrame], DataFrame], name: str = "affinity") -> DataFrame:
+def streaming_affinity(votes: DataFrame, steps_of: Callable[[DataFrame], DataFrame], name: str = "affinity", folder: str | None = None, delay: str | None = None, merge_every: int = MERGE_EVERY) -> DataFrame:
     """UserId, party, n_steps, total after all votes of the stream that are there now, in the order of arrival.
 
     ``steps_of`` makes the steps of a batch of votes. Within a batch the order is that of the vote
     ids; votes that arrive in a later batch than votes with larger ids are folded after them, where
-    the batch result would fold them before. Only the first delivery of a vote counts.
+    the batch result would fold them before. Only the first arrival of a vote counts (``delay`` as
+    in ``first_arrivals``). With ``folder`` the state is kept there and the next run goes on from
+    it; what a batch that is run again would need is kept, older rows are removed.
     """
     spark = votes.sparkSession
-    folder = f"{scratch_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
-    last: list[int] = []
+    folder = _folder(spark, name, folder)
 
     def fold(batch: DataFrame, number: int) -> None:
-        before = [n for n in last if n < number]
-        state = spark.read.schema(_STATE).parquet(f"{folder}/state/{max(before)}") if before else spark.createDataFrame([], _STATE)
-        fold_batch(state, steps_of(batch)).write.mode("overwrite").parquet(f"{folder}/state/{number}")
-        last.append(number)
-
-    query = votes.dropDuplicates(["Id"]).writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(_STATE).parquet(f"{folder}/state/{max(last)}") if last else spark.createDataFrame([], _STATE)
+        fold_batch(stored_state(spark, folder, number), steps_of(batch)).write.mode("overwrite").parquet(f"{folder}/changes/{number}")
+        if number % merge_every == merge_every - 1:
+            last = [n for n in numbered(spark, f"{folder}/merged") if n < number]
+            stored_state(spark, folder, number + 1).write.mode("overwrite").parquet(f"{folder}/merged/{number}")
+            for kind in ("merged", "changes"):
+                for n in numbered(spark, f"{folder}/{kind}"):
+                    if last and n < last[-1] + (kind == "changes"):
+                        removed(spark, f"{folder}/{kind}/{n}")
+
+    first_arrivals(votes, delay).writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stored_state(spark, folder)

@@ -52,6 +52,24 @@ def test_random_tables_match_brute_force(spark):
     assert found(spark, *args) == brute(*args)
 
 
+def test_keys_that_are_no_integers(spark):
+    """Texts are numbered by a dictionary; spellings that differ are different keys."""
+    rng = random.Random(8)
+    start = datetime(2021, 1, 1)
+    at = lambda: start + timedelta(hours=rng.randrange(24 * 90))
+    keys = ["a", "b", "", " a", "00", "0", "Ã", "x" * 3000]
+    votes = [(i, at(), keys[0] if rng.random() < 0.4 else rng.choice(keys), rng.choice([*keys, None])) for i in range(200)]
+    laws, users = ["b", "0", None], ["a", "00"]
+    log = [(rng.choice(["proposal", "user"]), rng.choice(keys), rng.choice(["created", "removed"]), at()) for _ in range(30)]
+    refs = [Reference("law", spark.createDataFrame([(x,) for x in laws], "Id string"), "Id", "proposals", "proposal"), Reference("user", spark.createDataFrame([(x,) for x in users], "Id string"), "Id", "users", "user")]
+    df = spark.createDataFrame([(*v, 1) for v in votes], "Id int, VoteDate timestamp_ntz, law string, user string, code int")
+    got = orphan_references(df, refs, spark.createDataFrame(log, "entity string, entity_id string, operation string, logged_at timestamp_ntz"))
+    rows = got.collect()
+    names = {"ProjectLawID": "law", "UserId": "user"}
+    assert {(r.record_id, r.ref_field, r.reason) for r in rows} == {(i, names[f], why) for i, f, why in brute(votes, laws, users, log)}
+    assert all(r.key == votes[r.record_id][2 if r.ref_field == "law" else 3] for r in rows)
+
+
 def test_times_within_one_month_are_compared(spark):
     t = datetime(2021, 5, 10)
     votes = [(1, t, 7, None), (2, t + timedelta(days=2), 7, None), (3, None, 7, None), (4, t + timedelta(days=1), 7, None)]
