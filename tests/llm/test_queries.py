@@ -3,9 +3,10 @@ import duckdb
 from hemicycle.llm import queries
 
 
-def test_pairs_match_their_sql(spark, data_dir):
+def test_queries_match_their_sql(spark, data_dir):
     con = duckdb.connect()
-    con.execute(f"create view voting_blocks as select * from read_parquet('{data_dir}/voting_blocks.parquet')")
+    for t in ("voting_blocks", "proposals", "documents", "mix_targets"):
+        con.execute(f"create view {t} as select * from read_parquet('{data_dir}/{t}.parquet')")
     for name, sql in queries.oracle_sql().items():
         df = queries.queries()[name](spark, data_dir)
         expected = con.execute(f"select {', '.join(df.columns)} from ({sql}) t").fetchall()
