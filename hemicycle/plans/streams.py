@@ -28,4 +28,8 @@ def queries() -> dict:
     return {f.__name__: f for f in (vote_counters_streaming, affinity_streaming)}
 
 
-SQL = {"vote_counters_streaming": "select ProjectLawID as proposal_id, count(*) as n_votes, sum(case when VotingOrientation <> 3 then 1 else 0 end)::bigint as n_interested from (select Id, min(ProjectLawID) as ProjectLawID, min(VotingOrientation) as VotingOrientation from votes group by Id) group by 1"}
+SQL = {
+    "vote_counters_streaming": "select ProjectLawID as proposal_id, count(*) as n_votes, sum(case when VotingOrientation <> 3 then 1 else 0 end)::bigint as n_interested from (select Id, min(ProjectLawID) as ProjectLawID, min(VotingOrientation) as VotingOrientation from votes group by Id) group by 1",
+    # the stored votes are one file, so one batch: the order of arrival is that of the vote ids
+    "affinity_streaming": f"select UserId, party, n_steps, round(points * 10)::bigint as total from ({catalogue.SQL['party_affinity']}) t",
+}
