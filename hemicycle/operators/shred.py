@@ -219,6 +219,16 @@ def entities(nodes: DataFrame, roles: Mapping[str, str], scalars: Mapping[str, s
     )
 
 
+def joined_entities(nodes: DataFrame, roles: Mapping[str, str], scalars: Mapping[str, str]) -> DataFrame:
+    """The rows of ``entities`` by a join: the stored node table is read for the objects and for their scalar children, which are pivoted and joined to them. It costs half as much again as the grouping (see the README)."""
+    stored = materialise(nodes, "nodes")
+    role = F.create_map(*[F.lit(x) for kv in roles.items() for x in kv])[F.col("label")]
+    heads = stored.where(role.isNotNull() & (F.col("is_object") | F.col("scalar").isNotNull())).select("source", "document", "node", "parent", "ordinal", role.alias("role"), F.when(~F.col("is_object"), F.col("scalar")).alias("bare_key"))
+    children = stored.where(~F.col("is_object") & F.col("label").isin(*scalars.values()) & F.col("scalar").isNotNull() & role.isNull())
+    pivoted = children.groupBy("source", "document", F.col("parent").alias("node")).agg(*[F.max(F.when(F.col("label") == label, F.col("scalar"))).alias(name) for name, label in scalars.items()])
+    return heads.join(pivoted, ["source", "document", "node"], "left")
+
+
 def links(tables: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Distinct links child_role, child_key, parent_role, parent_key of the (child, parent) roles in ``pairs``.
 

@@ -73,7 +73,7 @@ def stored_state(spark: SparkSession, folder: str, before: int | None = None) ->
 def fold_batch(state: DataFrame, steps: DataFrame) -> DataFrame:
     """The rows of the state that the steps (UserId, party, vote_id, block_id, tenths) of one batch change."""
     folded = scoring.stretch(steps, ["UserId", "party"], ["vote_id", "block_id"], "tenths")
-    both = folded.join(state, ["UserId", "party"], "left")
+    both = folded.join(state.hint("merge"), ["UserId", "party"], "left")  # the state is small as a file, not in memory
     none = F.lit(0).cast("bigint")
     total = scoring.after(F.coalesce("total", none), F.col("sum"), F.col("least"))
     return both.select("UserId", "party", (F.coalesce("n_steps", none) + F.col("n")).alias("n_steps"), total.alias("total"))

@@ -69,6 +69,14 @@ def test_deep_parser_agrees():
             raise AssertionError(text)
 
 
+def test_the_join_gives_the_same_entities(spark, data_dir):
+    for name, roles, scalars in (("proposal", PROPOSAL_ROLES, PROPOSAL_SCALARS), ("session", SESSION_ROLES, SESSION_SCALARS)):
+        nodes = shred.shred(spark.read.parquet(f"{data_dir}/{name}_records.parquet"), "record_id", "payload", frozenset(x for x in roles if x))
+        grouped = shred.entities(nodes, roles, scalars)
+        joined = shred.joined_entities(nodes, roles, scalars).select(*grouped.columns)
+        assert grouped.count() > 100 and sorted(map(str, grouped.collect())) == sorted(map(str, joined.collect()))
+
+
 def test_only_wanted_scalars(spark):
     rows = spark.createDataFrame([(1, json.dumps(proposal([BLOCK])))], "record_id long, payload string")
     every = {tuple(r) for r in shred.shred(rows, "record_id", "payload", frozenset({"votingblocks"})).collect()}
