@@ -14,6 +14,7 @@ from hemicycle.functions import text
 from hemicycle.operators import filters, mutations, nesting, picking, scoring
 from hemicycle.plans import domain
 from hemicycle.schemas import ORIENTATIONS, PROPOSAL_RESULTS
+from hemicycle.session import spread
 from hemicycle.sources import records
 from hemicycle.sources.tables import read_table
 
@@ -404,7 +405,7 @@ def logo_path(spark, d):
 
 @query("select distinct Id, length(c) as n_chars, sha256(c) as hash from (select Id, regexp_replace(replace(replace(ProposalTextHTML, '<censored>', 'CENSURADO'), chr(10), ''), '<[^>]*>|&[^;]+;', '', 'g') as c from proposals)")
 def clean_html(spark, d):
-    cleaned = read_table(spark, d, "proposals", "Id", "ProposalTextHTML").select("Id", text.stripped_html(F.col("ProposalTextHTML")).alias("c"))
+    cleaned = spread(read_table(spark, d, "proposals", "Id", "ProposalTextHTML"), "Id").select("Id", text.stripped_html(F.col("ProposalTextHTML")).alias("c"))
     return cleaned.select("Id", F.length("c").cast("bigint").alias("n_chars"), text.hashed(F.col("c")).alias("hash")).distinct()
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hemicycle.operators import features, references, shred
+from hemicycle.session import spread
 from hemicycle.sources.tables import read_table
 
 #: Features are as of this time; votes at it or after it do not count.
@@ -82,7 +83,7 @@ KEY_SCALARS = ("id", "map_key", "acronym")
 
 
 def _entities(spark: SparkSession, d: str, name: str, roles: dict[str, str], scalars: dict[str, str], key_of: dict[str, str]) -> DataFrame:
-    records = read_table(spark, d, f"{name}_records", "record_id", "payload")
+    records = spread(read_table(spark, d, f"{name}_records", "record_id", "payload"), "record_id")
     nodes = shred.shred(records, "record_id", "payload", frozenset(x for x in roles if x), {*roles, *scalars.values()})
     return shred.entity_tables(nodes, roles, scalars, key_of, f"{name}_entities")
 

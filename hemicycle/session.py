@@ -29,6 +29,12 @@ def get_session(app: str = "hemicycle", master: str | None = None, shuffle_parti
     return builder.getOrCreate()
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` by the hash of ``keys`` over as many tasks as there are cores, where they are fewer: a small file is one task otherwise, however long its texts take. Large inputs have more tasks and stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, *keys) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a temporary folder only where the setting is absent, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
