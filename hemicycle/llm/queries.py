@@ -7,24 +7,31 @@ from pyspark.sql import functions as F
 
 from hemicycle.functions.keys import letters_and_digits
 from hemicycle.llm import mixing, packing, pairs, quality, split, tokens
-from hemicycle.session import materialise
+from hemicycle.session import materialise, spread
 from hemicycle.sources.tables import read_table
 
 #: Tokens of a container.
 CAPACITY = 2048
 
 
+def _oversized(spark: SparkSession, d: str) -> DataFrame:
+    return spread(read_table(spark, d, "proposals", "Id", "ProposalTextHTML").where(F.length("ProposalTextHTML") > 6000), "Id")
+
+
+def _texts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return spread(read_table(spark, d, "documents", "doc_id", "text", *columns), "doc_id")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Own articles at which an oversized proposal can be divided, from the parts that the splitting assigns them to."""
-    plan = split.split_plan(read_table(spark, d, "proposals", "Id", "ProposalTextHTML"), "Id", "ProposalTextHTML")
+    plan = split.split_plan(_oversized(spark, d), "Id", "ProposalTextHTML")
     articles = plan.select("Id", F.explode(F.flatten(F.col("pieces.articles"))).alias("article_no"))
     return articles.select(F.col("Id").alias("proposal_id"), "article_no").distinct()
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of the oversized proposals; equal rows of a proposal are one."""
-    proposals = read_table(spark, d, "proposals", "Id", "ProposalTextHTML").where(F.length("ProposalTextHTML") > 6000)
-    once = proposals.groupBy("Id", F.xxhash64("ProposalTextHTML").alias("content")).agg(F.first("ProposalTextHTML").alias("ProposalTextHTML"))
+    once = _oversized(spark, d).groupBy("Id", F.xxhash64("ProposalTextHTML").alias("content")).agg(F.first("ProposalTextHTML").alias("ProposalTextHTML"))
     return split.pieces(once, "Id", "ProposalTextHTML").withColumnRenamed("Id", "proposal_id")
 
 
@@ -59,7 +66,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     """Documents, or pieces of those above the capacity, with their containers."""
-    sized = tokens.token_counts(read_table(spark, d, "documents", "doc_id", "text"), "text")
+    sized = tokens.token_counts(_texts(spark, d), "text")
     return packing.pack(materialise(sized, "document_tokens"), "doc_id", CAPACITY)
 
 
@@ -82,7 +89,7 @@ def p6_checks(spark: SparkSession, d: str) -> DataFrame:
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Documents weigh by three statistics of problem 8 that hold in any language: the less they consist of symbols, of digits and of repeated pieces, the more. Texts without words weigh least."""
-    documents = read_table(spark, d, "documents", "doc_id", "source", "text").withColumn("body", F.col("text"))
+    documents = _texts(spark, d, "source").withColumn("body", F.col("text"))
     judged = quality.statistics(documents, "body").select("doc_id", "source", "text", "n_words", "symbol_ratio", "digit_ratio", "repeated_share")
     clean = (1 - F.col("symbol_ratio")) * (1 - F.col("digit_ratio")) * (1 - F.col("repeated_share"))
     weighted = judged.select("doc_id", "source", "text", F.when(F.col("n_words") > 0, F.greatest(clean, F.lit(0.05))).otherwise(0.05).alias("weight"))
@@ -116,12 +123,12 @@ def p8_rules(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_statistics(spark: SparkSession, d: str, rules: list[quality.Rule] | None = None) -> DataFrame:
     """The statistics of every document and its kind, by given rules or by those that the labelled documents give; given rules save one reading of the texts."""
-    return quality.kinds(read_table(spark, d, "documents", "doc_id", "text"), rules or _rules(spark, d), "text")
+    return quality.kinds(_texts(spark, d), rules or _rules(spark, d), "text")
 
 
 def p8_counts(spark: SparkSession, d: str) -> DataFrame:
     """The statistics of words and lines alone."""
-    counted = quality.statistics(read_table(spark, d, "documents", "doc_id", "text"), "text")
+    counted = quality.statistics(_texts(spark, d), "text")
     return counted.select("doc_id", F.col("n_words").cast("bigint").alias("n_words"), "mean_word_length", "common_share", "clause_share", "distinct_share", "words_per_line")
 
 
