@@ -286,6 +286,44 @@ def proposal_json(spark, d):
     return records.as_json(domain.proposals(spark, d).select("Id", "ProposalTitle", "Score", "VotingResultSpecialityId"))
 
 
+_NAME_OF = "case votingOrientation when 0 then 'InFavor' when 1 then 'Against' when 2 then 'Abstaining' when 3 then 'NotInterested' end"
+
+
+@query(f"select Id, to_json({{userID: UserId, projectLawID: ProjectLawID, votingOrientation: {_NAME_OF}}})::varchar as json from ballots")
+def vote_json(spark, d):
+    """Votes as the client sends them."""
+    return domain.votes(spark, d).select("Id", records.vote_json(F.col("UserId"), F.col("ProjectLawID"), F.col("VotingOrientation")).alias("json"))
+
+
+@query("select Id, case when contains(Email, '@') then to_json({email: Email, password: sha256(Password)})::varchar else to_json({userName: Email, password: sha256(Password)})::varchar end as json from people")
+def login_json(spark, d):
+    """Logins as the client sends them."""
+    return domain.users(spark, d).select("Id", records.login_json(F.col("Email"), F.col("Password")).alias("json"))
+
+
+@query("select partyAcronym, to_json({partyAcronym: partyAcronym, partyName: fullName, logoUrl: logoLink})::varchar as json from parties")
+def party_json(spark, d):
+    return domain.parties(spark, d).select("partyAcronym", records.party_json(F.col("partyAcronym"), F.col("fullName"), F.col("logoLink")).alias("json"))
+
+
+@query(f"select Id, to_json({{isUnanimousWithinParty: isUninamousWithinParty, numberOfDeputados: numberOfDeputies, politicalParty: politicalPartyAcronym, voteOrientation: {_NAME_OF}}})::varchar as json from parts")
+def block_json(spark, d):
+    return domain.blocks(spark, d).select("Id", records.block_json(F.col("isUninamousWithinParty"), F.col("numberOfDeputies"), F.col("politicalPartyAcronym"), F.col("votingOrientation")).alias("json"))
+
+
+@query("select s.Id, to_json({political_party: {partyAcronym: partyAcronym, partyName: fullName, logoUrl: logoLink}, party_affection_score: PartyAffectionScore, total_amount_of_proposals_voted_on: totalAmountOfProposalsVotedOn, total_affection_points: totalAffectionPoints})::varchar as json from party_stats s join parties on partyAcronym = PoliticalPartypartyAcronym")
+def stats_json(spark, d):
+    rows = nesting.with_parent(domain.stats(spark, d), "PoliticalPartypartyAcronym", domain.parties(spark, d), "partyAcronym", "party", "inner")
+    return rows.select("Id", records.stats_json(F.col("party"), F.col("PartyAffectionScore"), F.col("totalAmountOfProposalsVotedOn"), F.col("totalAffectionPoints")).alias("json"))
+
+
+@query("select Id, to_json({userID: Id, legislaturas: ['XIV', 'XV'], oldestVoteDate: '2015-01-01', newestVoteDate: null::varchar, lowestScoreAllowed: 0})::varchar as json from people")
+def criteria_json(spark, d):
+    """Criteria of every user as the client sends them."""
+    legislatures = F.array(F.lit("XIV"), F.lit("XV"))
+    return domain.users(spark, d, "Id").select("Id", records.criteria_json(F.col("Id"), legislatures, F.lit("2015-01-01"), F.lit(None).cast("string"), F.lit(None).cast("int")).alias("json"))
+
+
 # Integrity, changes of tables, shapes
 
 

@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from hemicycle.functions.text import enum_code, stripped_html
+from hemicycle.functions.text import enum_code, enum_name, hashed, identifier_kind, stripped_html
 from hemicycle.schemas import ORIENTATIONS, PARTIES, PROPOSAL_RESULTS
 
 # The literal table of parties.
 SEED_PARTIES = [("UVX", "União do Vale e da Xisteira"), ("FRN", "Frente Renovadora do Norte"), ("MAQ", "Movimento das Aldeias Quietas"), ("PZL", "Partido da Zona Litoral")]
 
+_NULLS = {"ignoreNullFields": "false"}
+
 
 def seed_parties(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, n, f"https://static.example.org/{a.lower()}.png") for a, n in SEED_PARTIES], PARTIES)
@@ -92,3 +94,35 @@ def client_user(rows: DataFrame) -> DataFrame:
         (F.col("id") != 0).alias("isLoggedIn"),
         F.struct(F.col("id").alias("userID"), F.lit(0).alias("lowestScoreAllowed")).alias("proposalCriteria"),
     )
+
+
+def vote_json(user: Column, proposal: Column, orientation: Column) -> Column:
+    """The JSON of a vote as the client sends it: the code as its name."""
+    return F.to_json(F.struct(user.alias("userID"), proposal.alias("projectLawID"), enum_name(orientation, ORIENTATIONS).alias("votingOrientation")), _NULLS)
+
+
+def login_json(identifier: Column, password: Column) -> Column:
+    """The JSON of a login: the identifier as address or name, the password hashed."""
+    given = lambda name: F.to_json(F.struct(identifier.alias(name), hashed(password).alias("password")), _NULLS)
+    return F.when(identifier_kind(identifier) == "email", given("email")).otherwise(given("userName"))
+
+
+def party_json(acronym: Column, full_name: Column, logo: Column) -> Column:
+    """The JSON of a party under the client's names."""
+    return F.to_json(F.struct(acronym.alias("partyAcronym"), full_name.alias("partyName"), logo.alias("logoUrl")), _NULLS)
+
+
+def block_json(unanimous: Column, deputies: Column, party: Column, orientation: Column) -> Column:
+    """The JSON of a block under the client's names."""
+    return F.to_json(F.struct(unanimous.alias("isUnanimousWithinParty"), deputies.alias("numberOfDeputados"), party.alias("politicalParty"), enum_name(orientation, ORIENTATIONS).alias("voteOrientation")), _NULLS)
+
+
+def stats_json(party: Column, score: Column, amount: Column, points: Column) -> Column:
+    """The JSON of a party statistic under the client's names; ``party`` is a struct of the stored columns."""
+    named = F.struct(party["partyAcronym"].alias("partyAcronym"), party["fullName"].alias("partyName"), party["logoLink"].alias("logoUrl"))
+    return F.to_json(F.struct(named.alias("political_party"), score.alias("party_affection_score"), amount.alias("total_amount_of_proposals_voted_on"), points.alias("total_affection_points")), _NULLS)
+
+
+def criteria_json(user: Column, legislatures: Column, oldest: Column, newest: Column, lowest_score: Column) -> Column:
+    """The JSON of criteria as the client sends it; the service reads the legislatures under another name, so that it never filters by them."""
+    return F.to_json(F.struct(user.alias("userID"), legislatures.alias("legislaturas"), oldest.alias("oldestVoteDate"), newest.alias("newestVoteDate"), F.coalesce(lowest_score, F.lit(0)).alias("lowestScoreAllowed")), _NULLS)

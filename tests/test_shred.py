@@ -98,40 +98,57 @@ def test_tables_keep_scalars_and_order(spark):
     assert sorted((b.key, b.ordinal, b.block_acronym, b.n_deputies) for b in blocks) == [("7", 0, "ABC", None), ("7", 0, "ABC", None), ("8", 1, None, "20")]
 
 
-def test_brute_force_on_stored_records(spark, data_dir):
-    from hemicycle.plans.integrity import p5_found
-
-    got = {tuple(r) for r in p5_found(spark, data_dir).collect()}
-    assert len(got) > 300
-    texts = [r.payload for r in spark.read.parquet(f"{data_dir}/session_records.parquet").collect()]
-
-    def value(t):
-        v = json.loads(t.lstrip("﻿ \n"))
-        return value(v) if isinstance(v, str) else v
-
-    def members(v):
-        v = json.loads(v) if isinstance(v, str) and v.strip()[:1] in ("[", "{") else v
-        if isinstance(v, dict) and "$values" in v:
-            v = v["$values"]
-        if isinstance(v, dict) and v and all(k.isdigit() for k in v):
-            v = [{"id": k, **x} for k, x in v.items()]
-        return [x for x in v if x is not None] if isinstance(v, list) else [] if v is None else [v]
+def walked(value, roles, key_of, links):
+    """Links by plain recursion over the values: (child role, key, parent role, key)."""
+    out = set()
+
+    def opened(v):
+        if isinstance(v, str) and v.lstrip("\ufeff \n\t")[:1] in ("[", "{"):
+            v = json.loads(v.lstrip("\ufeff \n\t"))
+        return v
+
+    def key(role, v, map_key):
+        named = {k.lower().replace("_", ""): x for k, x in v.items()} if isinstance(v, dict) else {}
+        if role in key_of:
+            word = named.get("partyacronym") if isinstance(v, dict) else v
+            return (str(word).strip() or None) if word is not None else None
+        number = (named["id"] if named.get("id") is not None else map_key) if isinstance(v, dict) else v
+        return str(int(float(number))) if number is not None and str(number).strip().lstrip("+").replace(".0", "").isdigit() else None
+
+    def visit(v, label, parent, map_key=None):
+        v = opened(v) if label in roles else v
+        if isinstance(v, list):
+            for x in v:
+                visit(x, label, parent)
+        elif isinstance(v, dict) and "$values" in v:
+            visit(v["$values"], label, parent)
+        elif isinstance(v, dict) and v and label in roles and label and all(k.isdigit() and isinstance(x, dict) for k, x in v.items()):
+            for k, x in v.items():
+                visit(x, label, parent, k)
+        else:
+            role = roles.get(label) if isinstance(v, dict) or v is not None else None
+            own = (role, key(role, v, map_key)) if role else None
+            if own and parent and own[1] and parent[1] and (own[0], parent[0]) in links:
+                out.add((*own, *parent))
+            if isinstance(v, dict):
+                for k, x in v.items():
+                    visit(x, k.lower().replace("_", ""), own)
+
+    visit(value, "", None)
+    return out
 
-    field = lambda o, name: next((x for k, x in o.items() if k.lower().replace("_", "") == name), None)
 
-    def users(v):
-        for x in members(v):
-            inner = field(x, "data") or field(x, "users")
-            yield from users(inner) if inner else [x]
+def test_brute_force_on_stored_records(spark, data_dir):
+    from hemicycle.plans.integrity import p5_found
 
     expected = set()
-    for t in texts:
-        try:
-            people = list(users(value(t)))
-        except ValueError:
-            continue
-        for u in people:
-            for v in members(field(u, "votes")):
-                if field(v, "id") is not None and field(u, "id") is not None:
-                    expected.add(("vote", str(int(field(v, "id"))), "user", str(int(field(u, "id")))))
-    assert {x for x in got if x[0] == "vote"} == expected
+    for name, roles, key_of, links in (("proposal", PROPOSAL_ROLES, {"proposingParty"}, PROPOSAL_LINKS), ("session", SESSION_ROLES, {"politicalParty"}, SESSION_LINKS)):
+        for r in spark.read.parquet(f"{data_dir}/{name}_records.parquet").collect():
+            try:
+                value = json.loads(r.payload.lstrip("\ufeff \n\t"))
+                value = json.loads(value) if isinstance(value, str) else value
+            except ValueError:
+                continue
+            expected |= walked(value, roles, key_of, set(links))
+    got = {tuple(r) for r in p5_found(spark, data_dir).collect()}
+    assert got == expected and len(got) > 300
