@@ -6,7 +6,9 @@ one row per field, period and key range (``key >> 6``) with the bits of the keys
 without a bit have no row, which compresses sparse key spaces. The parents have one bitmap row per
 range, too: bits of the keys that exist, bits of the keys that were removed, and the times of
 creation of the at most 64 keys of the range. One join per range computes ``reference AND NOT
-parent``; only the surviving bits are decoded to keys and looked up among the records.
+parent``; only the surviving bits are decoded to keys and looked up among the records. The surviving
+bitmaps are written once; where they are few, they go to all tasks, and only the references that hit
+them are shuffled.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from hemicycle.session import materialise
 
 #: Buckets within which the dictionary numbers keys.
 BUCKETS = 4096
+#: Surviving bitmaps that are broadcast to the references, so that only hits are shuffled; where more survive, all references are.
+BROADCAST_RANGES = 200_000
 #: Keys of one bitmap: the bits of a bigint.
 RANGE_BITS = 6
 #: Period of records without time.
@@ -116,8 +120,8 @@ def _decoded(bits: Column, key_range: Column) -> Column:
     return F.transform(F.filter(positions, is_set), lambda i: base + i)
 
 
-def suspects(named: DataFrame, parents: DataFrame) -> DataFrame:
-    """Keys per field and period that survive ``reference AND NOT parent``: ref_field, period, key, reason, created.
+def survivors(named: DataFrame, parents: DataFrame) -> DataFrame:
+    """What is left of the references' bitmaps after ``reference AND NOT parent``: ref_field, period, range, missing, gone (bits) and late (positions and times); ranges of which nothing is left have no row.
 
     ``late`` keys exist, but were created in the period of the reference or after it; whether a
     single reference was too early is left to the comparison of times.
@@ -125,18 +129,29 @@ def suspects(named: DataFrame, parents: DataFrame) -> DataFrame:
     refs = named.groupBy("ref_field", "period", _range(F.col("key")).alias("range")).agg(F.bit_or(_bit(_position(F.col("key")))).alias("bits"))
     joined = refs.join(parents, (F.col("ref_field") == F.col("parent_field")) & (F.col("range") == F.col("parent_range")), "left")
     bits, none = F.col("bits"), F.lit(0).cast("bigint")
-    orphan = bits.bitwiseAND(F.bitwise_not(F.coalesce(F.col("there"), none)))
-    gone = F.coalesce(F.col("gone"), none)
-    there = bits.bitwiseAND(F.coalesce(F.col("there"), none))
-    base = F.call_function("shiftleft", F.col("range"), F.lit(RANGE_BITS))
+    there, gone = F.coalesce(F.col("there"), none), F.coalesce(F.col("gone"), none)
+    orphan, known = bits.bitwiseAND(F.bitwise_not(there)), bits.bitwiseAND(there)
+    late = F.filter(F.coalesce(F.col("made"), F.array().cast("array<struct<month:int,position:int,created:timestamp_ntz>>")), lambda m: (m["month"] >= F.col("period")) & (_bit(m["position"]).bitwiseAND(known) != 0))
+    left = joined.select("ref_field", "period", "range", orphan.bitwiseAND(F.bitwise_not(gone)).alias("missing"), orphan.bitwiseAND(gone).alias("gone"), late.alias("late"))
+    return left.where("missing <> 0 or gone <> 0 or size(late) > 0")
+
+
+def suspects(left: DataFrame) -> DataFrame:
+    """The keys of surviving bits, decoded: ref_field, period, key, reason, created."""
     never = F.lit(None).cast("timestamp_ntz")
     of = lambda reason, keys: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(reason).alias("reason"), never.alias("created")))
-    late = F.transform(
-        F.filter(F.coalesce(F.col("made"), F.array().cast("array<struct<month:int,position:int,created:timestamp_ntz>>")), lambda m: (m["month"] >= F.col("period")) & (_bit(m["position"]).bitwiseAND(there) != 0)),
-        lambda m: F.struct((base + m["position"]).alias("key"), F.lit("late").alias("reason"), m["created"].alias("created")),
-    )
-    found = F.concat(of("missing", _decoded(orphan.bitwiseAND(F.bitwise_not(gone)), F.col("range"))), of("deleted", _decoded(orphan.bitwiseAND(gone), F.col("range"))), late)
-    return joined.select("ref_field", "period", F.explode(found).alias("found")).select("ref_field", "period", "found.key", "found.reason", "found.created")
+    base = F.call_function("shiftleft", F.col("range"), F.lit(RANGE_BITS))
+    late = F.transform("late", lambda m: F.struct((base + m["position"]).alias("key"), F.lit("late").alias("reason"), m["created"].alias("created")))
+    found = F.concat(of("missing", _decoded(F.col("missing"), F.col("range"))), of("deleted", _decoded(F.col("gone"), F.col("range"))), late)
+    return left.select("ref_field", "period", F.explode(found).alias("found")).select("ref_field", "period", "found.*")
+
+
+def among(named: DataFrame, left: DataFrame) -> DataFrame:
+    """The references whose bit survived, by a broadcast of the surviving bitmaps."""
+    any_late = F.aggregate("late", F.lit(0).cast("bigint"), lambda bits, m: bits.bitwiseOR(_bit(m["position"])))
+    wanted = left.select(F.col("ref_field").alias("_field"), F.col("period").alias("_period"), "range", F.col("missing").bitwiseOR(F.col("gone")).bitwiseOR(any_late).alias("_bits"))
+    same = (F.col("ref_field") == F.col("_field")) & (F.col("period") == F.col("_period")) & (_range(F.col("key")) == F.col("range"))
+    return named.join(F.broadcast(wanted), same).where(_bit(_position(F.col("key"))).bitwiseAND(F.col("_bits")) != 0).select(*named.columns)
 
 
 def orphan_references(records: DataFrame, references: list[Reference], log: DataFrame, record_id: str = "Id", time: str = "VoteDate", salts: int = 8) -> DataFrame:
@@ -159,7 +174,10 @@ def orphan_references(records: DataFrame, references: list[Reference], log: Data
         codes = materialise(dictionary(named.select("key").unionByName(facts.select("key"))), "key_dictionary")
         coded = lambda rows, hot, spread: join_hot(rows, codes, "key", hot, spread).drop("key").withColumnRenamed("code", "key")
         named, facts = coded(named, heavy_keys(named, "key"), "record"), coded(facts, [], "ref_field")
-    keys = suspects(named, _parents(facts)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = materialise(survivors(named, _parents(facts)), "orphan_ranges")
+    keys = suspects(left).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if left.count() <= BROADCAST_RANGES:
+        named = among(named, left)
     hit = named.withColumn("salt", F.pmod(F.hash("record", "at"), F.lit(salts))).join(keys, ["ref_field", "period", "key", "salt"])
     found = (
         hit.groupBy("record", "ref_field", "key")

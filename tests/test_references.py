@@ -1,6 +1,8 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
+
 from hemicycle.operators.references import Reference, orphan_references, orphan_report
 
 VOTES = "Id int, VoteDate timestamp_ntz, ProjectLawID int, UserId int, key string, period int, salt int"
@@ -39,7 +41,10 @@ def found(spark, *args):
     return {(r.record_id, r.ref_field, r.reason) for r in orphan_references(votes, refs, log).collect()}
 
 
-def test_random_tables_match_brute_force(spark):
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_random_tables_match_brute_force(spark, monkeypatch, most):
+    """Surviving bitmaps that are shuffled, and broadcast."""
+    monkeypatch.setattr("hemicycle.operators.references.BROADCAST_RANGES", most)
     rng = random.Random(5)
     start = datetime(2021, 1, 1)
     at = lambda: start + timedelta(hours=rng.randrange(24 * 120))
