@@ -65,3 +65,20 @@ def test_empty_tables(spark):
 def test_days_are_whole(spark):
     rows = spark.createDataFrame([(datetime(2023, 9, 30, 0, 0, 0),), (datetime(2023, 9, 30, 0, 0, 0, 1),), (datetime(2023, 9, 29, 23, 59),)], "t timestamp_ntz")
     assert [r.d for r in rows.select(features.days_before(F.col("t"), "2023-10-01 00:00:00").alias("d")).collect()] == [1, 0, 1]
+
+
+def test_hot_key_is_spread_over_tasks(spark):
+    """With joins by shuffle, the largest part of a join with a key of a third of all rows holds no such share."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        events = spark.range(9000).selectExpr("id", "if(id % 3 = 0, 1, id % 1000) as key")
+        names = spark.range(1000).selectExpr("id as key", "id as name")
+        hot = features.heavy_keys(events, "key", share=20)
+        parts = [r["count"] for r in features.join_hot(events, names, "key", hot, "id").groupBy(F.spark_partition_id()).count().collect()]
+        assert hot == [1] and sum(parts) == 9000 and max(parts) < 2000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hemicycle import schemas
-from hemicycle.operators import mutations, picking, requests
+from hemicycle.operators import mutations, nesting, picking, requests
 from hemicycle.sources import records
 
 AT = datetime(2024, 1, 2)
@@ -108,3 +108,13 @@ def test_client_records(spark):
     user, empty = records.client_user(records.parsed(users, "b", records.USER_RECORD)).collect()
     assert (user.userType, user.isLoggedIn, user.userVotes[0].proposalID, user.userVotes[0].voteOrientation, user.partyStats) == ("facebook", True, 5, 1, [])
     assert (empty.userType, empty.isLoggedIn, empty.userVotes) == ("email", False, [])
+
+
+def test_users_of_memory_in_their_envelope(spark):
+    """Two users without votes and statistics: an envelope of two, with empty arrays."""
+    users = spark.createDataFrame([(1, "user_one", "one@example.org", "pw1", 1, None, None), (2, "user_two", "two@example.org", "pw2", 2, None, None)], schemas.USERS)
+    t = tables(spark)
+    rows = nesting.with_children(users, "Id", t.votes.select("UserId", F.col("Id").alias("VoteId")).where("UserId < 0"), "UserId", "votes")
+    rows = nesting.with_children(rows, "Id", nesting.with_parent(t.stats, "PoliticalPartypartyAcronym", t.parties, "partyAcronym", "party", "inner"), "UserId", "partyStats")
+    (whole,) = records.enveloped(rows, "users", "Id").collect()
+    assert [(u.Id, u.UserName, u.votes, u.partyStats) for u in whole.users] == [(1, "user_one", [], []), (2, "user_two", [], [])]
