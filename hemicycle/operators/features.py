@@ -30,11 +30,13 @@ def first_deliveries(events: DataFrame, event_id: str, time: str) -> DataFrame:
     return events.groupBy(event_id).agg(*[F.min(c).alias(c) for c in events.columns if c != event_id]).select(*events.columns)
 
 
-def heavy_keys(rows: DataFrame, column: str, share: int = HEAVY_SHARE) -> list:
-    """The values that at least one in ``share`` of all rows has in a column, null left out: at most ``share`` values come to the driver. All rows are counted, combined before they are shuffled."""
-    least = rows.count() / share
-    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return sorted(r.value for r in counts.where(F.col("n") >= max(least, 1.0)).collect())
+def heavy_keys(rows: DataFrame, *columns: str, share: int = HEAVY_SHARE) -> list[list]:
+    """For each column the values that at least one in ``share`` of all rows has, null left out: at most ``share`` values of each come to the driver. All rows are counted, in one reading and combined before they are shuffled."""
+    least = max(rows.count() / share, 1.0)
+    which = F.coalesce(*[F.when((F.grouping(c) == 0) & F.col(c).isNotNull(), i) for i, c in enumerate(columns)])
+    counts = rows.select(*columns).groupingSets([[c] for c in columns], *columns).agg(F.count("*").alias("n"), which.alias("which"))
+    found = counts.where((F.col("n") >= least) & F.col("which").isNotNull()).collect()
+    return [sorted(r[c] for r in found if r.which == i) for i, c in enumerate(columns)]
 
 
 def join_hot(rows: DataFrame, others: DataFrame, key: str, hot: Sequence, spread: str, salts: int = SALTS) -> DataFrame:

@@ -173,7 +173,7 @@ def orphan_references(records: DataFrame, references: list[Reference], log: Data
     if not integers:
         codes = materialise(dictionary(named.select("key").unionByName(facts.select("key"))), "key_dictionary")
         coded = lambda rows, hot, spread: join_hot(rows, codes, "key", hot, spread).drop("key").withColumnRenamed("code", "key")
-        named, facts = coded(named, heavy_keys(named, "key"), "record"), coded(facts, [], "ref_field")
+        named, facts = coded(named, *heavy_keys(named, "key"), "record"), coded(facts, [], "ref_field")
     left = materialise(survivors(named, _parents(facts)), "orphan_ranges")
     keys = suspects(left).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     if left.count() <= BROADCAST_RANGES:

@@ -54,10 +54,11 @@ def _vote_statistics(spark: SparkSession, d: str) -> DataFrame:
     votes = stored.where(F.col("VoteDate") < F.lit(AS_OF).cast("timestamp_ntz"))
     counted = features.first_deliveries(votes, "Id", "VoteDate").where(F.col("VotingOrientation").between(0, 3) & F.col("UserId").isNotNull() & F.col("ProjectLawID").isNotNull())
     laws = read_table(spark, d, "proposals", "Id", "ProposingPartypartyAcronym", "Legislatura").groupBy("Id").agg(F.min("ProposingPartypartyAcronym").alias("acronym"), F.min("Legislatura").alias("legislature"))
-    typed = features.join_hot(counted, laws.withColumnRenamed("Id", "ProjectLawID"), "ProjectLawID", features.heavy_keys(stored, "ProjectLawID"), "Id")
+    hot_laws, hot_users = features.heavy_keys(stored, "ProjectLawID", "UserId")
+    typed = features.join_hot(counted, laws.withColumnRenamed("Id", "ProjectLawID"), "ProjectLawID", hot_laws, "Id")
     kind = F.concat_ws(":", F.col("VotingOrientation").cast("string"), "acronym", "legislature")
     users = read_table(spark, d, "users", "Id").withColumnRenamed("Id", "entity")
-    return features.event_statistics(typed, "UserId", kind, "VoteDate", "Id", users, features.heavy_keys(stored, "UserId"))
+    return features.event_statistics(typed, "UserId", kind, "VoteDate", "Id", users, hot_users)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

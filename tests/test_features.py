@@ -19,7 +19,8 @@ def test_first_deliveries(spark):
 def test_heavy_keys_and_salts_change_no_result(spark):
     rows = [(i, 7 if i % 3 else i % 50, T, "ab"[i % 2], "x", 9) for i in range(600)] + [(1000 + i, None, T, "a", "x", 9) for i in range(300)]
     events = spark.createDataFrame(rows, EVENTS)
-    assert features.heavy_keys(events, "entity", share=4) == [7] and features.heavy_keys(events, "entity", share=1) == [] and features.heavy_keys(events.where("false"), "entity") == []
+    assert features.heavy_keys(events, "entity", "kind", share=4) == [[7], ["a", "b"]] and features.heavy_keys(events, "kind", "entity", share=2) == [["a"], []]
+    assert features.heavy_keys(events, "entity", share=1) == [[]] and features.heavy_keys(events.where("false"), "entity", "kind") == [[], []]
     names = spark.createDataFrame([(i, f"n{i}", 1) for i in range(0, 40)], "entity int, name string, _salts int")
     plain = sorted(map(tuple, features.join_hot(events, names, "entity", [], "id").collect()), key=str)
     assert sorted(map(tuple, features.join_hot(events, names, "entity", [7], "id").collect()), key=str) == plain and len(plain) > 400
@@ -76,7 +77,7 @@ def test_hot_key_is_spread_over_tasks(spark):
     try:
         events = spark.range(9000).selectExpr("id", "if(id % 3 = 0, 1, id % 1000) as key")
         names = spark.range(1000).selectExpr("id as key", "id as name")
-        hot = features.heavy_keys(events, "key", share=20)
+        (hot,) = features.heavy_keys(events, "key", share=20)
         parts = [r["count"] for r in features.join_hot(events, names, "key", hot, "id").groupBy(F.spark_partition_id()).count().collect()]
         assert hot == [1] and sum(parts) == 9000 and max(parts) < 2000
     finally:
