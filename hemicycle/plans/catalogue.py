@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hemicycle.functions import text
@@ -263,19 +264,42 @@ from affinity a join (select UserId, party, count(*) as n_steps from steps group
 )
 
 
+def _laws(spark, d):
+    """Proposals with a stored generality result."""
+    laws = domain.proposals(spark, d, "Id", "ProposingPartypartyAcronym", "VotingResultGeneralityId").select(F.col("Id").alias("ProjectLawID"), F.col("ProposingPartypartyAcronym").alias("proposer"), F.col("VotingResultGeneralityId").alias("result_id"))
+    return laws.join(domain.results(spark, d).select(F.col("Id").alias("result_id")), "result_id", "left_semi")
+
+
 def _scored_votes(spark, d, votes=None):
     """Votes on proposals with a stored generality result."""
-    laws = domain.proposals(spark, d, "Id", "ProposingPartypartyAcronym", "VotingResultGeneralityId").select(F.col("Id").alias("ProjectLawID"), F.col("ProposingPartypartyAcronym").alias("proposer"), F.col("VotingResultGeneralityId").alias("result_id"))
-    laws = laws.join(domain.results(spark, d).select(F.col("Id").alias("result_id")), "result_id", "left_semi")
-    return (domain.votes(spark, d) if votes is None else votes).join(laws, "ProjectLawID")
+    return (domain.votes(spark, d) if votes is None else votes).join(_laws(spark, d), "ProjectLawID")
+
+
+def _known_blocks(spark, d):
+    parts = domain.blocks(spark, d, "Id", "VotingResultId", "politicalPartyAcronym", "votingOrientation").select(F.col("VotingResultId").alias("result_id"), F.col("Id").alias("block_id"), F.col("politicalPartyAcronym").alias("party"), F.col("votingOrientation").alias("block_orientation"))
+    return parts.join(domain.parties(spark, d).select(F.col("partyAcronym").alias("party")), "party", "left_semi")
+
+
+def _points():
+    return scoring.tenths(F.col("party") == F.col("proposer"), F.col("block_orientation") == F.col("VotingOrientation")).alias("tenths")
 
 
 def affinity_steps(spark, d, votes=None):
     """One row per scored vote and block of the vote's generality result."""
-    parts = domain.blocks(spark, d, "Id", "VotingResultId", "politicalPartyAcronym", "votingOrientation").select(F.col("VotingResultId").alias("result_id"), F.col("Id").alias("block_id"), F.col("politicalPartyAcronym").alias("party"), F.col("votingOrientation").alias("block_orientation"))
-    known = parts.join(domain.parties(spark, d).select(F.col("partyAcronym").alias("party")), "party", "left_semi")
-    points = scoring.tenths(F.col("party") == F.col("proposer"), F.col("block_orientation") == F.col("VotingOrientation"))
-    return _scored_votes(spark, d, votes).where("UserId is not null").join(known, "result_id").select("UserId", F.col("Id").alias("vote_id"), "block_id", "party", points.alias("tenths"))
+    return _scored_votes(spark, d, votes).where("UserId is not null").join(_known_blocks(spark, d), "result_id").select("UserId", F.col("Id").alias("vote_id"), "block_id", "party", _points())
+
+
+def affinity_steps_by_user(spark, d, votes=None):
+    """The rows of ``affinity_steps``, with those of a user in one partition: a vote is shuffled once, with its blocks in arrays, and not once for each block."""
+    placed = _known_blocks(spark, d).withColumn("first", F.min("block_id").over(Window.partitionBy("result_id"))).withColumn("place", F.col("block_id").cast("bigint") - F.col("first"))  # places repeat from result to result, so they compress; ids don't
+    of_block = ("place", "party", "block_orientation")
+    by_result = placed.groupBy("result_id", "first").agg(F.array_sort(F.collect_list(F.struct(*of_block))).alias("_blocks")).select("result_id", "first", *[F.col("_blocks")[c].alias(c) for c in of_block])
+    laws = _laws(spark, d).join(by_result, "result_id").drop("result_id")
+    given = (domain.votes(spark, d) if votes is None else votes).where("UserId is not null").select("UserId", F.col("Id").alias("vote_id"), "ProjectLawID", "VotingOrientation")
+    points = F.zip_with("party", "block_orientation", lambda party, orientation: scoring.tenths(party == F.col("proposer"), orientation == F.col("VotingOrientation")).cast("tinyint"))
+    gathered = given.join(laws, "ProjectLawID").select("UserId", "vote_id", "first", "place", "party", points.alias("tenths")).repartition("UserId")
+    each = gathered.select("UserId", "vote_id", "first", F.inline(F.arrays_zip("place", "party", "tenths")))
+    return each.select("UserId", "vote_id", (F.col("first") + F.col("place")).cast("int").alias("block_id"), "party", F.col("tenths").cast("int").alias("tenths"))
 
 
 def _affinity(folded):

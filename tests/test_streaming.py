@@ -17,6 +17,30 @@ def test_streams_equal_batches(spark, data_dir):
     assert streamed == {tuple(r) for r in batch.collect()} and streamed
 
 
+@pytest.fixture
+def many_files(spark, data_dir, tmp_path):
+    """The small tables with votes in seven files that overlap in ids, and some votes in two files."""
+    for name in os.listdir(data_dir):
+        if name != "votes.parquet":
+            os.symlink(f"{data_dir}/{name}", tmp_path / name)
+    votes = spark.read.parquet(f"{data_dir}/votes.parquet")
+    votes.union(votes.where("Id % 11 = 0")).repartition(7).write.parquet(str(tmp_path / "votes.parquet"))
+    return str(tmp_path)
+
+
+def test_affinity_of_many_files_is_in_the_order_of_ids(spark, many_files):
+    batch = clamped_fold(catalogue.affinity_steps(spark, many_files), ["UserId", "party"], ["vote_id", "block_id"], "tenths")
+    streamed = streams.affinity_streaming(spark, many_files)
+    assert {tuple(r) for r in streamed.collect()} == {tuple(r) for r in batch.collect()}
+
+
+def test_steps_by_user_are_the_steps(spark, data_dir):
+    plain, by_user = catalogue.affinity_steps(spark, data_dir), catalogue.affinity_steps_by_user(spark, data_dir)
+    columns = ["UserId", "vote_id", "block_id", "party", "tenths"]
+    assert plain.select(columns).dtypes == by_user.select(columns).dtypes
+    assert sorted(map(tuple, plain.select(columns).collect())) == sorted(map(tuple, by_user.select(columns).collect()))
+
+
 SCHEMA = "Id int, VoteDate timestamp_ntz, ProjectLawID int, VotingOrientation int, UserId int"
 VOTES = [(i, datetime(2021, 1, 1), i % 5, (7 * i) % 4, i % 3) for i in range(40)]
 
