@@ -17,7 +17,7 @@ def _folder(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vote_counters_streaming(spark: SparkSession, d: str) -> DataFrame:
-    return affinity.run_available(affinity.streaming_counters(_folder(spark, d)), "counters")
+    return affinity.run_available(affinity.streaming_counters(_folder(spark, d).drop("UserId", "VoteDate")), "counters")
 
 
 def affinity_streaming(spark: SparkSession, d: str) -> DataFrame:

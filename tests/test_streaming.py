@@ -34,6 +34,18 @@ def test_affinity_of_many_files_is_in_the_order_of_ids(spark, many_files):
     assert {tuple(r) for r in streamed.collect()} == {tuple(r) for r in batch.collect()}
 
 
+def test_counters_of_many_files_are_one_batch(spark, many_files, tmp_path, monkeypatch):
+    """All files of the stored votes are counted at once, with known ids on disk; settings of the session stay as they were."""
+    kept = str(tmp_path / "kept")
+    monkeypatch.setattr(affinity, "_folder", lambda *_: kept)
+    counted = {tuple(r) for r in streams.vote_counters_streaming(spark, many_files).collect()}
+    assert counted == {tuple(r) for r in catalogue.proposal_vote_counters(spark, many_files).collect()}
+    assert [x for x in os.listdir(f"{kept}/checkpoint/commits") if x.isdigit()] == ["0"]
+    with open(f"{kept}/checkpoint/offsets/0") as offsets:
+        assert "RocksDBStateStoreProvider" in offsets.read()
+    assert all(spark.conf.get(k, None) is None for k in affinity.STATE_STORE)
+
+
 def test_steps_by_user_are_the_steps(spark, data_dir):
     plain, by_user = catalogue.affinity_steps(spark, data_dir), catalogue.affinity_steps_by_user(spark, data_dir)
     columns = ["UserId", "vote_id", "block_id", "party", "tenths"]
